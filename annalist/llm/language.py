@@ -158,6 +158,22 @@ def identify(docs: DataFrame, model: Model, keep: Sequence[str] = ()) -> DataFra
     return rows.mapInArrow(run, ", ".join(["_id long", "_lang string", "_score double", *(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)]))
 
 
+def keep_known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, as they are, in a learned language with a score of
+    ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.schema.names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                b = whole.slice(start, 512)
+                langs, scores = shared.value.predict(b.column(at).to_pylist())
+                yield b.filter(pa.array([x != "und" and y >= least for x, y in zip(langs, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predict(docs: DataFrame) -> DataFrame:
     """The query contract: doc_id, held_out, lang_pred, score."""
     found = identify(docs, fit(docs))

@@ -199,6 +199,22 @@ def score(docs: DataFrame, model: Model, keep: Sequence[str] = ()) -> DataFrame:
     return out
 
 
+def keep_good(docs: DataFrame, model: Model, accept: float = ACCEPT) -> DataFrame:
+    """The rows of ``docs``, as they are, whose score is ``accept`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.schema.names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, features = shared.value, Features()
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                b = whole.slice(start, 512)
+                vectors = np.array([m.vector(*features.counts(t)) for t in b.column(at).to_pylist()])
+                yield b.filter(pa.array(m.scores(vectors.reshape(b.num_rows, -1)) >= accept))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> DataFrame:
     """The query contract: doc_id, held_out, score, predicted."""
     scored = score(docs, fit(docs, labels, max_per_class))

@@ -219,13 +219,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def _redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         at = b.schema.get_field_index("text")
-        texts = [redact(t, find_spans(t)) for t in b.column(at).to_pylist()]
-        yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
+        old = b.column(at).to_pylist()
+        new = [redact(t, find_spans(t)) for t in old]
+        b = b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
+        if (n := b.schema.get_field_index("n_chars")) >= 0:
+            sizes = [len(y) if x != y else z for x, y, z in zip(old, new, b.column(n).to_pylist(), strict=True)]
+            b = b.set_column(n, b.schema.field(n), pa.array(sizes, b.schema.field(n).type))
+        yield b
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` (columns as they are) with every found span in ``text`` redacted;
-    a null text stays null, a text without findings stays byte for byte."""
+    """``docs`` (columns as they are) with every found span in ``text`` redacted
+    and ``n_chars``, if there, counted anew for changed rows; a null text stays
+    null, a text without findings stays byte for byte."""
     return docs.mapInArrow(_redacted, docs.schema)
 
 

@@ -156,21 +156,38 @@ def _candidate_stars(described: DataFrame) -> DataFrame:
     return each.join(shared.hint("shuffle_hash"), "signature").where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
 
 
-def _linked_to(one: np.ndarray, sets: list[np.ndarray], these: np.ndarray, sizes: np.ndarray, threshold: Fraction) -> np.ndarray:
-    """Which of ``these`` reach the threshold with ``one``."""
-    p, q = threshold.numerator, threshold.denominator
-    near = these[(sizes[these] * q >= len(one) * p) & (len(one) * q >= sizes[these] * p)]
-    if not len(near):
-        return near
-    found = np.fromiter((np.count_nonzero(one[np.minimum(np.searchsorted(one, sets[k]), len(one) - 1)] == sets[k]) for k in near.tolist()), np.int64, len(near))
-    return near[q * found >= p * (sizes[near] + len(one) - found)]
+def _sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """Elements of each set in 256 buckets, up to 255. The sum of differences of
+    two sketches is at most the symmetric difference of the sets."""
+    return np.array([np.minimum(np.bincount((x & np.uint64(255)).astype(np.int64), minlength=256), 255) for x in sets], np.int16).reshape(-1, 256)
+
+
+class _Compared:
+    """Sets that are compared with each other."""
+
+    def __init__(self, sets: list[np.ndarray], threshold: Fraction) -> None:
+        self.sets, self.p, self.q = sets, threshold.numerator, threshold.denominator
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.sketches = _sketches(sets)
+
+    def linked(self, k: int, these: np.ndarray) -> np.ndarray:
+        """Which of ``these`` reach the threshold with set k."""
+        one, n, p, q = self.sets[k], len(self.sets[k]), self.p, self.q
+        sizes = self.sizes[these]
+        near = these[(sizes * q >= n * p) & (n * q >= sizes * p)]
+        if not len(near):
+            return near
+        differ = np.abs(self.sketches[near] - self.sketches[k]).sum(1, dtype=np.int64)
+        near = near[(q + p) * differ <= (q - p) * (self.sizes[near] + n)]
+        found = np.fromiter((np.count_nonzero(one[np.minimum(np.searchsorted(one, self.sets[x]), n - 1)] == self.sets[x]) for x in near.tolist()), np.int64, len(near))
+        return near[q * found >= p * (self.sizes[near] + n - found)]
 
 
 def _stars(ids: list[int], sets: list[np.ndarray], threshold: Fraction, right: int | None = None) -> list[tuple[int, int]]:
     """Star edges that connect what links among the sets. With ``right``, only
     links between the sets before that place and those from it count. A set that
     is reached already is compared with unreached ones alone."""
-    sizes = np.array([len(s) for s in sets], np.int64)
+    compared = _Compared(sets, threshold)
     left = np.arange(len(sets)) < (right if right is not None else 0)
     free, edges = np.ones(len(sets), bool), []
     for seed in range(len(sets)):
@@ -181,7 +198,7 @@ def _stars(ids: list[int], sets: list[np.ndarray], threshold: Fraction, right: i
         while queue:
             k = queue.pop()
             rest = np.flatnonzero(free if right is None else free & (left != left[k]))
-            for x in _linked_to(sets[k], sets, rest, sizes, threshold).tolist():
+            for x in compared.linked(k, rest).tolist():
                 free[x] = False
                 queue.append(x)
                 edges.append((ids[seed], ids[x]))
@@ -264,3 +281,11 @@ def join(docs: DataFrame, width: int = 3, threshold: Fraction = Fraction(9, 10))
     reached = components(links).select(F.col("node").alias("least"), F.col("component").alias("component_id"))
     classes = nodes.join(reached, "least", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
     return described.select("doc_id", "n", "node").join(classes, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, width: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
+    """The rows of ``docs``, as they are, one of each component: that of the
+    smallest doc_id. Rows without a doc_id belong to no component and stay."""
+    first = join(docs, width, threshold).where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
+    kept = docs.join(first, F.col("doc_id") == F.col("_first"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))
