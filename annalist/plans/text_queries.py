@@ -121,7 +121,7 @@ def _messages(spark, d):
 
 @query(
     "S12_J11_X14_X26_turns",
-    """l as (select *, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as n from conversations
+    """with l as (select *, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as n from conversations
   where role = 'user' or (role = 'assistant' and conv_id % 6 <> 2)),
 k as (select conv_id, turn, role, trim(line) as line, n from l where n % 3 <> 1 and trim(line) <> '')
 select concat('s', conv_id) as session, concat('m', conv_id, '-', turn) as message_id, role, trim(string_agg(line, chr(10) || chr(10) order by n)) as text,
@@ -149,16 +149,14 @@ def reconcile(spark, d):
     return ingest.reconcile(old, old.select("session", F.size("keys").alias("n")), keys).select("session", "action")
 
 
-@query("S15_captured", "select event_id, case when event_id % 3 = 0 then 'user' else 'assistant' end as role from events where event_id % 3 <> 2", views=False)
+@query("S15_captured", "select concat('s', user_id) as session, case when event_id % 3 = 0 then 'user' else 'assistant' end as role, case when event_id % 3 = 0 then props else concat(event_type, '#', event_id) end as text from events where event_id % 3 <> 2", views=False)
 def captured(spark, d):
     kind = F.col("event_id") % 3
-    rows = table(spark, d, "events").select(
-        "event_id", F.when(kind == 2, "").otherwise(F.concat(F.lit("s"), F.col("user_id"))).alias("session_id"), F.when(kind == 0, F.col("props")).alias("prompt"),
-        F.when(kind != 2, F.concat("event_type", F.lit("#"), F.col("event_id"))).alias("last_assistant_message"), F.lit("high").alias("effort"),
+    events = table(spark, d, "events").select(
+        F.when(kind == 2, "").otherwise(F.concat(F.lit("s"), F.col("user_id"))).alias("session_id"), F.when(kind == 0, F.col("props")).alias("prompt"),
+        F.concat("event_type", F.lit("#"), F.col("event_id")).alias("last_assistant_message"), F.lit("high").alias("effort"),
     )
-    joined = rows.select("event_id", F.struct("session_id", "prompt", "last_assistant_message", "effort").alias("e")).select("event_id", "e.*")
-    has = joined.where("session_id <> ''")
-    return has.select("event_id", F.when(F.col("prompt").isNotNull(), "user").otherwise("assistant").alias("role"))
+    return ingest.capture(events, "2024-01-01T00:00:00Z").select("session", "role", "text")
 
 
 @query("X6_transcripts", "select session, string_agg(concat(upper(role), ': ', text, chr(10), chr(10)), '' order by id) as transcript from raw_v group by session")

@@ -84,8 +84,8 @@ def persistent(spark, d):
 
 @query(
     "A21_centroids",
-    _VEC + ", x as (select lens, generate_subscripts(v, 1) as at, unnest(v) as x from vec), m as (select lens, at, avg(x) as m from x group by lens, at), n as (select lens, sqrt(sum(m * m)) as n from m group by lens) "
-    "select m.lens, cast(at - 1 as int) as at, round(m.m / n.n, 9) as x from m join n on n.lens = m.lens",
+    _VEC + ", x as (select lens, generate_subscripts(v, 1) as p, unnest(v) as x from vec), m as (select lens, p, avg(x) as m from x group by lens, p), n as (select lens, sqrt(sum(m * m)) as n from m group by lens) "
+    "select m.lens, cast(p - 1 as int) as \"at\", round(m.m / n.n, 9) as x from m join n on n.lens = m.lens",
 )
 def centroids(spark, d):
     out = vectors.centroids(vectors.embedded(obs_v(spark, d)), "lens")
@@ -94,8 +94,8 @@ def centroids(spark, d):
 
 @query(
     "A22_J15_reexpansion",
-    _VEC + ", g as (select *, cast(seq % 5 as bigint) as arc from vec), x as (select arc, generate_subscripts(v, 1) as at, unnest(v) as x from g), m as (select arc, at, avg(x) as m from x group by arc, at), "
-    "n as (select arc, sqrt(sum(m * m)) as n from m group by arc), c as (select m.arc, list(m.m / n.n order by at) as c from m join n on n.arc = m.arc group by m.arc), "
+    _VEC + ", g as (select *, cast(seq % 5 as bigint) as arc from vec), x as (select arc, generate_subscripts(v, 1) as p, unnest(v) as x from g), m as (select arc, p, avg(x) as m from x group by arc, p), "
+    "n as (select arc, sqrt(sum(m * m)) as n from m group by arc), c as (select m.arc, list(m.m / n.n order by p) as c from m join n on n.arc = m.arc group by m.arc), "
     "r as (select g.arc, min(list_dot_product(g.v, c.c)) as radius from g join c on c.arc = g.arc group by g.arc) "
     "select c.arc, count(*) as n from c join r on r.arc = c.arc join vec on list_dot_product(vec.v, c.c) >= r.radius - 1e-12 group by c.arc",
 )
