@@ -110,7 +110,7 @@ def train(languages: Sequence[str], counted: Sequence[tuple[str, str, int]]) ->
     for lang, word, n in counted:
         table.setdefault(word, np.zeros(len(languages)))[column[lang]] += n
     words = sorted(table)
-    word_logs = _logs(np.array([table[w] for w in words]).reshape(-1, len(languages)), 0.5)
+    word_logs = _logs(np.array([table[w] for w in words]).reshape(len(words), len(languages)), 0.5)
     grams: list[dict[str, int]] = []
     logs: list[np.ndarray] = []
     frequent = [w for w, _ in Counter({w: float(c.sum()) for w, c in table.items()}).most_common(NGRAM_WORDS)]
@@ -122,7 +122,7 @@ def train(languages: Sequence[str], counted: Sequence[tuple[str, str, int]]) ->
                 sums[marked[i : i + n]] += c
         names = sorted(sums)
         grams.append({g: i for i, g in enumerate(names)})
-        logs.append(_logs(np.array([sums[g] for g in names]).reshape(-1, len(languages)), 0.5))
+        logs.append(_logs(np.array([sums[g] for g in names]).reshape(len(names), len(languages)), 0.5))
     return Model(list(languages), {w: i for i, w in enumerate(words)}, word_logs, grams, logs)
 
 
