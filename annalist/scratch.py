@@ -19,7 +19,7 @@ def scratch_root(spark: SparkSession) -> str:
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if _OWN_SCRATCH is None:
         _OWN_SCRATCH = tempfile.mkdtemp(prefix="annalist-scratch-")
