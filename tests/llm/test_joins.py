@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from annalist.llm import caps, forest, shingles
-from annalist.llm.graph import components
+from annalist.operators.graph import components
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
