@@ -32,7 +32,7 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
@@ -81,9 +81,11 @@ class Bands:
         self.threshold, self._ends = threshold, [1]
 
     def band(self, size: int) -> int:
-        """Bands end where sizes that can link with the band's start end."""
+        """Bands are wide enough that most sets are in one alone; a set links with
+        none beyond the band after its own."""
         while self._ends[-1] < size:
-            self._ends.append(int((self._ends[-1] + 1) / self.threshold))
+            first = self._ends[-1] + 1
+            self._ends.append(max(int(first / self.threshold), first * 7 // 5))
         return int(np.searchsorted(self._ends, size))
 
     def partitions(self, band: int) -> tuple[int, int]:
@@ -95,11 +97,13 @@ class Bands:
         return (1, 0) if differ == 0 else ((differ + 2) // 2, 1)
 
     def signatures(self, shingles: np.ndarray) -> np.ndarray:
-        """Signatures of a set, in its own band and in the next."""
+        """Signatures of a set: in its own band and, if sets that it can link with
+        lie beyond that band's end, in the next."""
         if not len(shingles):
             return np.zeros(0, np.int64)
         own = self.band(len(shingles))
-        return np.unique(np.concatenate([x for b in (own, own + 1) for x in self._in_band(shingles, b)])).view(np.int64)
+        bands = (own, own + 1) if len(shingles) / self.threshold > self._ends[own] else (own,)
+        return np.unique(np.concatenate([x for b in bands for x in self._in_band(shingles, b)])).view(np.int64)
 
     def _in_band(self, shingles: np.ndarray, band: int) -> Iterator[np.ndarray]:
         """Empty halves would be equal for unrelated sets. A pair that needs one
@@ -147,11 +151,19 @@ def describe(docs: DataFrame, width: int, threshold: Fraction) -> DataFrame:
     return _texts(docs).mapInArrow(run, "doc_id long, n long, node binary, signatures array<long>")
 
 
+def _short(node: Column) -> Column:
+    """56 bits of a node's fingerprint. Nodes that agree in them become candidates
+    of one group, no more: sets are compared in full."""
+    return F.conv(F.hex(F.substring(node, 1, 7)), 16, 10).cast("long")
+
+
 def _candidate_stars(described: DataFrame) -> DataFrame:
-    """(u, v): each node of a signature that several nodes share, and the least
-    of them. Both uses of the exploded signatures read one exchange."""
-    each = described.where("signatures is not null").select(F.explode("signatures").alias("signature"), "node")
-    each = each.repartition("signature")
+    """(u, v): each (short) node of a signature that several share, and the least
+    of them. Both uses of the exploded signatures read one exchange; minima are
+    aggregated before it, and a signature that very many nodes share meets in a
+    join that is spread by its other side."""
+    each = described.where("signatures is not null").select(F.explode("signatures").alias("signature"), _short(F.col("node")).alias("node"))
+    each = each.where("signature is not null and node is not null").repartition("signature")
     shared = each.groupBy("signature").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most")
     return each.join(shared.hint("shuffle_hash"), "signature").where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
 
@@ -230,8 +242,8 @@ def _verified_links(members: DataFrame, docs: DataFrame, width: int, threshold:
                 sets = [s.tobytes() for s in shingler.sets(b.column("text").to_pylist())]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "part", "pivot", "blocks", "block")), pa.array(sets, pa.binary())], names=["doc_id", "part", "pivot", "blocks", "block", "set"])
 
-    told = _texts(docs).join(blocks.select("doc_id", "part", "pivot", "blocks", "block"), "doc_id")
-    sets = materialise(told.mapInArrow(sets_of, "doc_id long, part binary, pivot long, blocks long, block long, set binary"), "sets")
+    told = _texts(docs).join(blocks.select("doc_id", "part", "pivot", "blocks", "block").hint("shuffle_hash"), "doc_id")
+    sets = materialise(told.mapInArrow(sets_of, "doc_id long, part long, pivot long, blocks long, block long, set binary"), "sets")
 
     # Each block of a group, and in each the group's pivot.
     pivots = sets.where("doc_id = pivot and blocks > 1")
@@ -275,7 +287,7 @@ def join(docs: DataFrame, width: int = 3, threshold: Fraction = Fraction(9, 10))
     nodes = described.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     stars = materialise(_candidate_stars(described), "stars")
     groups = components(stars)
-    members = materialise(groups.join(nodes, "node").select(F.col("least").alias("doc_id"), F.col("component").alias("part")), "members")
+    members = materialise(nodes.withColumn("node", _short(F.col("node"))).join(groups, "node").select(F.col("least").alias("doc_id"), F.col("component").alias("part")), "members")
     discard(stars)
     links = _verified_links(members, docs, width, threshold)
     reached = components(links).select(F.col("node").alias("least"), F.col("component").alias("component_id"))
