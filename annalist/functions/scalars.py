@@ -132,6 +132,11 @@ def rendered(role: Column, text: Column) -> Column:
     return F.concat(F.upper(role), F.lit(": "), text, F.lit("\n\n"))
 
 
+def transcript_digest(turns: Column) -> Column:
+    """Identity of a transcript: the digest of its (role, text) entries in order."""
+    return F.sha2(F.to_json(F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))), 256)
+
+
 def fenced(text: Column, token: str = "corpus:untrusted") -> Column:
     """The text between fixed delimiters, the token within it defused in any case."""
     first, second = token.split(":")

@@ -253,3 +253,28 @@ def previews(spark, d):
     first = raw_v(spark, d).withColumn("nth", F.row_number().over(Window.partitionBy("session").orderBy("id"))).where("nth <= 5")
     rows = first.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("id", F.substring("text", 1, 5).alias("t")))).alias("ts"))
     return rows.select("session", F.array_join(F.transform("ts", lambda x: x["t"]), "|").alias("preview"))
+
+
+@query("X5_transcript_digests")
+def digests(spark, d):
+    turns = F.array_sort(F.collect_list(F.struct("id", "role", "text")))
+    return raw_v(spark, d).groupBy("session").agg(turns.alias("t")).select("session", X.transcript_digest(F.col("t")).alias("digest"))
+
+
+@query("X13_readable_ts", "select id, strftime(try_cast(nullif(ts, '') as timestamp), '%Y-%m-%d %H:%M:%S') as ts from raw_v")
+def readable(spark, d):
+    return raw_v(spark, d).select("id", F.date_format(X.parsed_ts(F.col("ts")), "yyyy-MM-dd HH:mm:ss").alias("ts"))
+
+
+@query("K15_lens_dropped", "select seq from obs_v where lens <> 'math'")
+def lens_dropped(spark, d):
+    return tables.delete_lens(obs_v(spark, d), "math").select("seq")
+
+
+@query("K10_watermark_upsert", "select session, lens, case when retries > 0 then 7 else distilled end as distilled from progress_v")
+def watermark_upsert(spark, d):
+    from .bindings import progress_v
+
+    old = progress_v(spark, d)
+    new = old.where("retries > 0").withColumn("distilled", F.lit(7))
+    return tables.upsert(old, new, "session", "lens").select("session", "lens", "distilled")

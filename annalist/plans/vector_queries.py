@@ -201,3 +201,18 @@ def summary_signatures(spark, d):
 def orphan_profiles(spark, d):
     profiles = spark.sql("select * from values ('default'), ('gone'), ('unified') as t(lens)")
     return profiles.where("lens <> 'unified'").join(assert_v(spark, d).select("lens"), "lens", "left_anti")
+
+
+@query("O6_arcs_to_verify")
+def arcs_to_verify(spark, d):
+    seen = spark.sql("select * from values ('none', 0L) as t(signature, members)")
+    return arcs.to_verify(candidate_arcs(spark, d), seen, 5)
+
+
+_NOTE = "select dimension as arc, printf('CANDIDATE ARC: %d observations, %d sessions, %d days (%s..%s).', count(*), count(distinct session), count(distinct case when ts <> '' then substr(ts, 1, 10) end), substr(min(ts) filter (ts <> ''), 1, 10), substr(max(ts) filter (ts <> ''), 1, 10)) || ' Of these, 25% are cited by the facet d|k already.' as note from obs_v group by dimension"
+
+
+@query("X12_arc_notes", _NOTE)
+def arc_notes(spark, d):
+    told = arcs.describe_arcs(obs_v(spark, d).withColumn("arc", F.col("dimension")))
+    return told.select("arc", text.arc_note(F.col("n"), F.size("sessions"), F.col("days"), F.col("span_from"), F.col("span_to"), F.lit(0.25), F.lit("d|k")).alias("note"))
