@@ -90,10 +90,9 @@ def filters(unit: np.ndarray, z: float, words: int) -> list[np.ndarray]:
     return [np.sort(np.concatenate(x)) if x else np.zeros(0, np.int64) for x in found]
 
 
-def _least_shared(of: np.ndarray, rows: list[np.ndarray], cols: list[np.ndarray], hits: np.ndarray, now: int) -> np.ndarray:
-    """``hits`` without the pairs that share a filter before ``now``."""
-    earlier = [x[x < now] for x in rows], [x[x < now] for x in cols]
-    names = np.unique(np.concatenate([*earlier[0], *earlier[1], np.zeros(0, np.int64)]))
+def _least_shared(rows: list[np.ndarray], cols: list[np.ndarray], hits: np.ndarray) -> np.ndarray:
+    """``hits`` without the pairs that share an earlier filter, given those of each."""
+    names = np.unique(np.concatenate([*rows, *cols, np.zeros(0, np.int64)]))
     if not len(names):
         return hits
 
@@ -102,7 +101,7 @@ def _least_shared(of: np.ndarray, rows: list[np.ndarray], cols: list[np.ndarray]
         m[np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.searchsorted(names, np.concatenate(lists))] = 1
         return m
 
-    return hits & (marks(earlier[0]) @ marks(earlier[1]).T < 0.5)
+    return hits & (marks(rows) @ marks(cols).T < 0.5)
 
 
 def _local_labels(hits: np.ndarray) -> np.ndarray:
@@ -123,8 +122,9 @@ def _verify(threshold: float):
         t = pa.Table.from_batches(held)
         if t.num_rows < 2:
             return
-        now, ids, side = t.column("filter")[0].as_py(), t.column("id").to_numpy(), t.column("side").to_numpy()
-        unit, many = matrix(t.column("unit")), t.column("many").to_numpy()
+        ids, side = t.column("id").to_numpy(), t.column("side").to_numpy()
+        many, unit = t.column("many").to_numpy(), matrix(t.column("vec")).astype(float)
+        unit /= np.sqrt((unit * unit).sum(1))[:, None]
         # In a pair of blocks, rows of side 1 meet those of side 2; side 0 is a block with itself.
         at, to = (np.flatnonzero(side == 1), np.flatnonzero(side == 2)) if side.any() else (np.arange(len(ids)),) * 2
         hits = unit[at] @ unit[to].T >= threshold
@@ -134,10 +134,10 @@ def _verify(threshold: float):
         if not len(r):
             return
         hits, at, to = hits[np.ix_(r, c)], at[r], to[c]
-        lists = t.column("filters").combine_chunks()
+        lists = t.column("earlier").combine_chunks()
         own = [lists[k].values.to_numpy() for k in at.tolist()]
         other = own if not side.any() else [lists[k].values.to_numpy() for k in to.tolist()]
-        counted = _least_shared(ids, own, other, hits, now)
+        counted = _least_shared(own, other, hits)
         nodes = at if not side.any() else np.concatenate([at, to])
         if side.any():
             links = np.concatenate([counted @ many[to], counted.T @ many[at]])
@@ -151,7 +151,7 @@ def _verify(threshold: float):
         label[order] = order[_local_labels(square[np.ix_(order, order)])]
         yield pa.RecordBatch.from_arrays([pa.array(ids[nodes]), pa.array(links.astype(np.int64)), pa.array(ids[nodes[label]])], names=names)
 
-    return by_key("slot", handle)
+    return by_key(["filter", "pair"], handle)
 
 
 def link(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
@@ -160,6 +160,9 @@ def link(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     nodes = rows.groupBy("a", "b").agg(F.min("vec_id").alias("id"), F.count("*").alias("many"), F.any_value("vec").alias("vec"))
     nodes = materialise(nodes, "vectors")
     z, words = parameters(nodes.count(), threshold)
+    # Components travel in the type that they came in; all sums are in double precision.
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    kind, arrow_kind = ("array<float>", pa.float32()) if single else ("array<double>", pa.float64())
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -172,21 +175,24 @@ def link(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
                     unit = v / np.sqrt((v * v).sum(1))[:, None]
                     found = filters(unit, z, words)
                     yield pa.RecordBatch.from_arrays(
-                        [some.column("id"), some.column("many"), pa.array([dim] * len(unit), pa.int32()), pa.array(list(unit), pa.list_(pa.float64())), pa.array(found, pa.list_(pa.int64()))],
-                        names=["id", "many", "dim", "unit", "filters"],
+                        [some.column("id"), some.column("many"), some.column("vec").cast(pa.list_(arrow_kind)), pa.array([x + (dim << 34) for x in found], pa.list_(pa.int64()))],
+                        names=["id", "many", "vec", "filters"],
                     )
 
-    decoded = materialise(nodes.select("id", "many", "vec").mapInArrow(decode, "id long, many long, dim int, unit array<double>, filters array<long>"), "decoded")
-    in_caps = decoded.select("id", "many", "dim", "unit", "filters", F.explode("filters").alias("filter"))
-    crowded = decoded.select("dim", F.explode("filters").alias("filter")).groupBy("dim", "filter").count().where("count > 1")
-    crowded = crowded.withColumn("blocks", F.ceil(F.col("count") / BLOCK_ROWS).cast("long"))
-    met = in_caps.join(crowded, ["dim", "filter"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    # Block x meets itself in slot (x, x) and each block y in slot (min, max).
+    decoded = materialise(nodes.select("id", "many", "vec").mapInArrow(decode, f"id long, many long, vec {kind}, filters array<long>"), "decoded")
+    # Only crowded caps are dealt out in blocks; they are few, so that the wide rows
+    # needn't be shuffled to learn of them.
+    crowded = decoded.select(F.explode("filters").alias("filter")).groupBy("filter").count().where(F.col("count") > BLOCK_ROWS)
+    crowded = crowded.select("filter", F.ceil(F.col("count") / BLOCK_ROWS).cast("long").alias("blocks"))
+    met = decoded.select("id", "many", "vec", "filters", F.explode("filters").alias("filter")).join(crowded, "filter", "left")
+    met = met.withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long"))).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    # Block x meets itself in the pair (x, x) and each block y in (min, max).
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     met = met.select(
-        F.xxhash64("dim", "filter", F.least("block", "other"), F.greatest("block", "other")).alias("slot"), "filter", "id", "many", "unit", "filters",
+        "filter", (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("pair"), "id", "many", "vec",
+        F.filter("filters", lambda x: x < F.col("filter")).alias("earlier"),
         F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"),
-    ).repartition("slot").sortWithinPartitions("slot")
+    ).repartition("filter", "pair").sortWithinPartitions("filter", "pair")
     found = materialise(met.mapInArrow(_verify(threshold), "u long, links long, v long"), "found")
     counts = found.groupBy(F.col("u").alias("id")).agg(F.sum("links").alias("links"))
     reached = components(found.where("u <> v"))

@@ -121,7 +121,7 @@ def _rank_in_slot(k: int):
             rows, cols, exact = rows[nth < n], cols[nth < n], exact[nth < n]
             yield pa.RecordBatch.from_arrays([pa.array(a[some[rows]]), pa.array(b[some[rows]]), ids.take(pa.array(cols)), pa.array(exact)], names=names)
 
-    return by_key("slot", handle)
+    return by_key(["slot"], handle)
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 10, share: float = SEARCH_SHARE, trees: int = TREES) -> DataFrame:

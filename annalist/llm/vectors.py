@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +33,9 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def by_key(key: str, handle: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
-    """A mapInArrow function for rows sorted by ``key``: ``handle`` gets the
-    batches of one key after the other, cut where the key changes."""
+def by_key(keys: Sequence[str], handle: Callable[[list[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """A mapInArrow function for rows sorted by ``keys``: ``handle`` gets the
+    batches of one key after the other, cut where a key changes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -43,13 +43,14 @@ def by_key(key: str, handle: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
         for b in batches:
             if not b.num_rows:
                 continue
-            keys = b.column(key).to_numpy()
-            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), b.num_rows]
+            told = np.stack([b.column(k).to_numpy() for k in keys])
+            cuts = [0, *(np.flatnonzero((told[:, 1:] != told[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
             for s, e in zip(cuts, cuts[1:], strict=False):
-                if held and keys[s] != now:
+                key = told[:, s].tolist()
+                if held and key != now:
                     yield from handle(held)
                     held = []
-                now = keys[s]
+                now = key
                 held.append(b.slice(s, e - s))
         if held:
             yield from handle(held)
