@@ -28,6 +28,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from fractions import Fraction
+from math import exp, sqrt
 
 import numpy as np
 import pandas as pd
@@ -40,7 +41,9 @@ from .common import discard, materialise, mix64
 
 CACHE_WORDS = 300_000
 #: Sets in a block of a large candidate group, about.
-BLOCK_ROWS = 512
+BLOCK_ROWS = 1024
+#: Sketches in a block of a candidate group that they cut.
+SKETCH_ROWS = 2048
 #: Hash seeds tried before signatures of empty halves are given out.
 SEEDS = 4
 _MUL = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -78,7 +81,7 @@ class Bands:
     """Size bands and the PartEnum parameters of each, for one threshold."""
 
     def __init__(self, threshold: Fraction) -> None:
-        self.threshold, self._ends = threshold, [1]
+        self.threshold, self._ends, self._chosen = threshold, [1], {}
 
     def band(self, size: int) -> int:
         """Bands are wide enough that most sets are in one alone; a set links with
@@ -88,13 +91,27 @@ class Bands:
             self._ends.append(max(int(first / self.threshold), first * 7 // 5))
         return int(np.searchsorted(self._ends, size))
 
-    def partitions(self, band: int) -> tuple[int, int]:
-        """(first-level partitions, differing elements allowed in one of them)
-        for pairs up to this band, the larger of which is in it."""
+    def partitions(self, band: int) -> tuple[int, int, int]:
+        """(first-level partitions, differing elements allowed in one of them,
+        partitions with an empty half that a set may have) for pairs up to this
+        band, the larger of which is in it.
+
+        Of n partitions, more than n - (d + 1) // 2 differ by one element at most
+        when a pair differs by d. So many spare ones are added that the halves of a
+        set seldom leave more of them empty."""
         while band >= len(self._ends):
             self.band(self._ends[-1] + 1)
-        differ = int((1 - self.threshold) / (1 + self.threshold) * 2 * self._ends[band])
-        return (1, 0) if differ == 0 else ((differ + 2) // 2, 1)
+        if band not in self._chosen:
+            top, typical = self._ends[band], 0.9 * (self._ends[band - 1] + 1 if band else 1)
+            differ = int((1 - self.threshold) / (1 + self.threshold) * 2 * top)
+            need, spare = (differ + 2) // 2, 0
+            while spare < need:
+                empty = 2 * (need + spare) * exp(-typical / 2 / (need + spare))
+                if empty < 0.05 or empty + 1.3 * sqrt(empty) <= spare:
+                    break
+                spare += 1
+            self._chosen[band] = (1, 0, 0) if differ == 0 else (need + spare, 1, spare)
+        return self._chosen[band]
 
     def signatures(self, shingles: np.ndarray) -> np.ndarray:
         """Signatures of a set: in its own band and, if sets that it can link with
@@ -106,10 +123,11 @@ class Bands:
         return np.unique(np.concatenate([x for b in bands for x in self._in_band(shingles, b)])).view(np.int64)
 
     def _in_band(self, shingles: np.ndarray, band: int) -> Iterator[np.ndarray]:
-        """Empty halves would be equal for unrelated sets. A pair that needs one
-        has it on both sides, so both go on to the next seed instead; only the
+        """Empty halves would be equal for unrelated sets and have no signature. A
+        pair that shares no other half has more partitions with empty halves than
+        the spare ones on both sides, so such sets go on to the next seed; only the
         last seed gives out signatures of empty halves."""
-        n, allowed = self.partitions(band)
+        n, allowed, spare = self.partitions(band)
         value = mix64(shingles ^ _MUL[1])
         for seed in range(SEEDS):
             salt = (band * SEEDS + seed + 1) * int(_MUL[0]) % 2**64
@@ -119,10 +137,12 @@ class Bands:
             np.add.at(sums, at, value)
             there = np.bincount(at, minlength=len(sums)) > 0
             signatures = mix64(sums + mix64(np.arange(len(sums)).astype(np.uint64) * _MUL[2] + np.uint64(salt)))
-            if there.all() or seed == SEEDS - 1:
+            if seed == SEEDS - 1:
                 yield signatures
                 return
             yield signatures[there]
+            if np.count_nonzero(~there.reshape(n, -1).all(1)) <= spare:
+                return
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -131,24 +151,25 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def describe(docs: DataFrame, width: int, threshold: Fraction) -> DataFrame:
     """doc_id, n (size of its set), node (fingerprint of the set; null if it is
-    empty) and, for the first row of a set in a task, its signatures."""
+    empty) and, for the first row of a set in a task, its signatures and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, bands, seen = Shingler(width), Bands(threshold), set()
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                n, nodes, signatures = [], [], []
+                n, nodes, signatures, sketches = [], [], [], []
                 for s in shingler.sets(b.column(1).to_pylist()):
                     n.append(len(s))
                     nodes.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     fresh = len(s) and nodes[-1] not in seen
                     signatures.append(bands.signatures(s) if fresh else None)
+                    sketches.append(_sketch(s).tobytes() if fresh else None)
                     if fresh and len(seen) < 200_000:
                         seen.add(nodes[-1])
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(signatures, pa.list_(pa.int64()))], names=["doc_id", "n", "node", "signatures"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(signatures, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "n", "node", "signatures", "sketch"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n long, node binary, signatures array<long>")
+    return _texts(docs).mapInArrow(run, "doc_id long, n long, node binary, signatures array<long>, sketch binary")
 
 
 def _short(node: Column) -> Column:
@@ -168,41 +189,47 @@ def _candidate_stars(described: DataFrame) -> DataFrame:
     return each.join(shared.hint("shuffle_hash"), "signature").where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
 
 
-def _sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """Elements of each set in 256 buckets, up to 255. The sum of differences of
-    two sketches is at most the symmetric difference of the sets."""
-    return np.array([np.minimum(np.bincount((x & np.uint64(255)).astype(np.int64), minlength=256), 255) for x in sets], np.int16).reshape(-1, 256)
+def _sketch(shingles: np.ndarray) -> np.ndarray:
+    """Elements of a set in 256 buckets, up to 255. The sum of differences of two
+    sketches is at most the symmetric difference of the sets."""
+    return np.minimum(np.bincount((shingles & np.uint64(255)).astype(np.int64), minlength=256), 255).astype(np.uint8)
 
 
 class _Compared:
-    """Sets that are compared with each other."""
+    """Sets that are compared with each other: by sketches, which rule pairs out,
+    and, where the sets are there, in full."""
+
+    def __init__(self, sizes: np.ndarray, sketches: np.ndarray, threshold: Fraction, sets: list[np.ndarray] | None = None) -> None:
+        self.sizes, self.sketches, self.sets = sizes, sketches.astype(np.int16), sets
+        self.p, self.q = threshold.numerator, threshold.denominator
 
-    def __init__(self, sets: list[np.ndarray], threshold: Fraction) -> None:
-        self.sets, self.p, self.q = sets, threshold.numerator, threshold.denominator
-        self.sizes = np.array([len(s) for s in sets], np.int64)
-        self.sketches = _sketches(sets)
+    @classmethod
+    def of(cls, sets: list[np.ndarray], threshold: Fraction) -> _Compared:
+        return cls(np.array([len(s) for s in sets], np.int64), np.array([_sketch(s) for s in sets]).reshape(-1, 256), threshold, sets)
 
     def linked(self, k: int, these: np.ndarray) -> np.ndarray:
-        """Which of ``these`` reach the threshold with set k."""
-        one, n, p, q = self.sets[k], len(self.sets[k]), self.p, self.q
+        """Which of ``these`` (may) reach the threshold with row k."""
+        n, p, q = self.sizes[k], self.p, self.q
         sizes = self.sizes[these]
         near = these[(sizes * q >= n * p) & (n * q >= sizes * p)]
         if not len(near):
             return near
         differ = np.abs(self.sketches[near] - self.sketches[k]).sum(1, dtype=np.int64)
         near = near[(q + p) * differ <= (q - p) * (self.sizes[near] + n)]
+        if self.sets is None:
+            return near
+        one = self.sets[k]
         found = np.fromiter((np.count_nonzero(one[np.minimum(np.searchsorted(one, self.sets[x]), n - 1)] == self.sets[x]) for x in near.tolist()), np.int64, len(near))
         return near[q * found >= p * (self.sizes[near] + n - found)]
 
 
-def _stars(ids: list[int], sets: list[np.ndarray], threshold: Fraction, right: int | None = None) -> list[tuple[int, int]]:
-    """Star edges that connect what links among the sets. With ``right``, only
-    links between the sets before that place and those from it count. A set that
+def _stars(ids: list[int], compared: _Compared, right: int | None = None) -> list[tuple[int, int]]:
+    """Star edges that connect what links among the rows. With ``right``, only
+    links between the rows before that place and those from it count. A row that
     is reached already is compared with unreached ones alone."""
-    compared = _Compared(sets, threshold)
-    left = np.arange(len(sets)) < (right if right is not None else 0)
-    free, edges = np.ones(len(sets), bool), []
-    for seed in range(len(sets)):
+    left = np.arange(len(ids)) < (right if right is not None else 0)
+    free, edges = np.ones(len(ids), bool), []
+    for seed in range(len(ids)):
         if not free[seed]:
             continue
         free[seed] = False
@@ -228,6 +255,42 @@ def _as_sets(column) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in column]
 
 
+def _split_groups(members: DataFrame, threshold: Fraction) -> DataFrame:
+    """doc_id, part: candidate groups of more than a block, cut into those that
+    sketches can't rule out. Only sets of one size class or of neighbouring ones
+    can link, so blocks of sketches meet within a class and with the next; what
+    leaves a pair of blocks are stars. members: doc_id, part, n, sketch."""
+    large = members.groupBy("part").count().where(F.col("count") > BLOCK_ROWS).select("part")
+    small = members.join(large, "part", "left_anti").select("doc_id", "part")
+    if large.isEmpty():
+        return small
+    width = float(1 / threshold) * 1.0001
+    rows = members.join(large, "part", "left_semi").withColumn("cls", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(width))))
+    sizes = rows.groupBy("part", "cls").agg(F.ceil(F.count("*") / SKETCH_ROWS).cast("long").alias("b"))
+    for shift, name in ((1, "after"), (-1, "before")):
+        rows = rows.join(sizes.select("part", (F.col("cls") - shift).alias("cls"), F.col("b").alias(name)), ["part", "cls"], "left")
+    rows = rows.join(sizes, ["part", "cls"]).withColumn("sub", F.pmod(F.xxhash64("doc_id"), F.col("b")))
+    none = F.array().cast("array<bigint>")
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(none)
+    cls, sub, zero, one = F.col("cls"), F.col("sub"), F.lit(0).cast("long"), F.lit(1).cast("long")
+    slot = lambda c, i, step, j, side: F.struct(c.alias("c"), i.alias("i"), step.alias("step"), j.alias("j"), side.alias("side"))
+    slots = F.concat(
+        F.transform(upto(F.col("b")), lambda j: slot(cls, F.least(sub, j), zero, F.greatest(sub, j), F.when(j == sub, 0).when(sub < j, 1).otherwise(2))),
+        F.transform(upto(F.coalesce("after", zero)), lambda j: slot(cls, sub, one, j, F.lit(1))),
+        F.transform(upto(F.coalesce("before", zero)), lambda j: slot(cls - 1, j, one, sub, F.lit(2))),
+    )
+    met = rows.select("doc_id", "part", "n", "sketch", F.explode(slots).alias("s")).select("doc_id", "part", "n", "sketch", "s.*")
+
+    def local(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["side", "doc_id"], ignore_index=True)
+        sketches = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(-1, 256)
+        right = None if (group["side"] == 0).all() else int((group["side"] == 1).sum())
+        return _edges_frame(_stars(group["doc_id"].tolist(), _Compared(group["n"].to_numpy(), sketches, threshold), right))
+
+    edges = met.groupBy("part", "c", "i", "step", "j").applyInPandas(local, _EDGES)
+    return small.unionByName(components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("part")))
+
+
 def _verified_links(members: DataFrame, docs: DataFrame, width: int, threshold: Fraction) -> DataFrame:
     """Star edges (by doc_id) of the exact links within candidate groups.
     members: doc_id, part (the group)."""
@@ -251,7 +314,7 @@ def _verified_links(members: DataFrame, docs: DataFrame, width: int, threshold:
 
     def within(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("doc_id", ignore_index=True)
-        return _edges_frame(_stars(group["doc_id"].tolist(), _as_sets(group["set"]), threshold))
+        return _edges_frame(_stars(group["doc_id"].tolist(), _Compared.of(_as_sets(group["set"]), threshold)))
 
     first = sets.unionByName(guests).groupBy("part", "block").applyInPandas(within, _EDGES)
     if pivots.isEmpty():
@@ -275,7 +338,7 @@ def _verified_links(members: DataFrame, docs: DataFrame, width: int, threshold:
     def across(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["guest", "doc_id"], ascending=[False, True], ignore_index=True)
         guests = int(group["guest"].sum())
-        return _edges_frame(_stars(group["doc_id"].tolist(), _as_sets(group["set"]), threshold, guests))
+        return _edges_frame(_stars(group["doc_id"].tolist(), _Compared.of(_as_sets(group["set"]), threshold), guests))
 
     second = visitors.unionByName(hosts).groupBy("part", "block", "chunk").applyInPandas(across, _EDGES)
     return first.unionByName(second.where("u <> v"))
@@ -284,10 +347,11 @@ def _verified_links(members: DataFrame, docs: DataFrame, width: int, threshold:
 def join(docs: DataFrame, width: int = 3, threshold: Fraction = Fraction(9, 10)) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs``."""
     described = materialise(describe(docs, width, threshold), "described")
-    nodes = described.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
+    nodes = described.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.max("sketch").alias("sketch"))
     stars = materialise(_candidate_stars(described), "stars")
     groups = components(stars)
-    members = materialise(nodes.withColumn("node", _short(F.col("node"))).join(groups, "node").select(F.col("least").alias("doc_id"), F.col("component").alias("part")), "members")
+    told = nodes.withColumn("node", _short(F.col("node"))).join(groups, "node").select(F.col("least").alias("doc_id"), F.col("component").alias("part"), "n", "sketch")
+    members = materialise(_split_groups(materialise(told, "candidates"), threshold), "members")
     discard(stars)
     links = _verified_links(members, docs, width, threshold)
     reached = components(links).select(F.col("node").alias("least"), F.col("component").alias("component_id"))
