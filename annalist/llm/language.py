@@ -7,8 +7,8 @@ number of words up to a bound, and the score is the posterior of the winner.
 
 Counts come from a bounded sample of labelled rows outside the held-out ones, at
 most ``MAX_PER_LANGUAGE`` documents of each language (whole texts, counted by
-Spark); the ``MAX_WORDS`` most frequent words make the model, whose n-gram
-counts follow from them. Both bounds are parameters.
+Spark). Every word of the sample is in the model, and n-gram counts follow from
+all of them; the bound on documents is a parameter and the only one.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0.0;
 ties go to the language first in the alphabet; with no labelled rows everything
@@ -19,8 +19,8 @@ read for a prediction.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator, Sequence
+from array import array
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +30,6 @@ from pyspark.sql import functions as F
 from .common import held_out
 
 MAX_PER_LANGUAGE = 4000
-MAX_WORDS = 100_000
-#: n-gram counts come from this many of the most frequent words.
-NGRAM_WORDS = 40_000
 LONGEST, SHARPEST = 5, 24
 CACHE_WORDS = 300_000
 
@@ -66,7 +63,7 @@ class Model:
 
     def _index(self, words: list[list[str]]) -> dict[str, int]:
         """Row of each word in ``_table``; new unseen words are added."""
-        if len(self._seen) > CACHE_WORDS:
+        if len(self._seen) - len(self.words) > CACHE_WORDS:
             self._seen, self._rows, self._table = {}, [], self.word_logs
         if not self._seen:
             self._seen = dict(self.words)
@@ -102,33 +99,32 @@ def _logs(counts: np.ndarray, by: float) -> np.ndarray:
     return np.log((counts + by) / (counts.sum(0) + by * len(counts))).astype(np.float32)
 
 
-def train(languages: Sequence[str], counted: Sequence[tuple[str, str, int]]) -> Model:
-    """From (lang, word, n) rows, the most frequent first."""
-    languages = sorted(languages)
+def train(languages: Sequence[str], counted: Iterable[tuple[str, str, int]]) -> Model:
+    """From (lang, word, n) rows."""
+    languages, counted = sorted(languages), list(counted)
     column = {x: i for i, x in enumerate(languages)}
-    table: dict[str, np.ndarray] = {}
+    words = {w: i for i, w in enumerate(sorted({w for _, w, _ in counted}))}
+    counts = np.zeros((len(words), len(languages)))
     for lang, word, n in counted:
-        table.setdefault(word, np.zeros(len(languages)))[column[lang]] += n
-    words = sorted(table)
-    word_logs = _logs(np.array([table[w] for w in words]).reshape(len(words), len(languages)), 0.5)
+        counts[words[word], column[lang]] += n
     grams: list[dict[str, int]] = []
     logs: list[np.ndarray] = []
-    frequent = [w for w, _ in Counter({w: float(c.sum()) for w, c in table.items()}).most_common(NGRAM_WORDS)]
+    weights = np.log1p(counts)
+    marked = [f"^{w}$" for w in words]
+    sizes = np.array([len(m) for m in marked], np.int64)
     for n in range(1, LONGEST + 1):
-        sums: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(languages)))
-        for w in frequent:
-            marked, c = f"^{w}$", np.log1p(table[w])
-            for i in range(len(marked) - n + 1):
-                sums[marked[i : i + n]] += c
-        names = sorted(sums)
-        grams.append({g: i for i, g in enumerate(names)})
-        logs.append(_logs(np.array([sums[g] for g in names]).reshape(len(names), len(languages)), 0.5))
-    return Model(list(languages), {w: i for i, w in enumerate(words)}, word_logs, grams, logs)
-
-
-def fit(docs: DataFrame, max_per_language: int = MAX_PER_LANGUAGE, max_words: int = MAX_WORDS) -> Model:
-    """Count the words of the sampled labelled rows in Spark; only the most
-    frequent ``max_words`` (language, word, count) rows come to the driver."""
+        known: dict[str, int] = {}
+        at = array("q", (known.setdefault(m[i : i + n], len(known)) for m in marked for i in range(len(m) - n + 1)))
+        where, of = np.frombuffer(at, np.int64), np.repeat(np.arange(len(marked)), np.maximum(sizes - n + 1, 0))
+        sums = [np.bincount(where, w[of], len(known)) for w in weights.T]
+        grams.append(known)
+        logs.append(_logs(np.array(sums).reshape(len(languages), len(known)).T, 0.5))
+    return Model(languages, words, _logs(counts, 0.5), grams, logs)
+
+
+def fit(docs: DataFrame, max_per_language: int = MAX_PER_LANGUAGE) -> Model:
+    """Count the words of the sampled labelled rows in Spark; the (language, word,
+    count) rows of the sample come to the driver."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -137,8 +133,8 @@ def fit(docs: DataFrame, max_per_language: int = MAX_PER_LANGUAGE, max_words: in
     part = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, int(1_000_000 * min(1.0, max_per_language / n)))))
     sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part[F.col("lang")])
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("word"))
-    top = words.groupBy("lang", "word").count().orderBy(F.desc("count"), "lang", "word").limit(max_words)
-    return train(sizes, [(r["lang"], r["word"], r["count"]) for r in top.collect()])
+    got = words.groupBy("lang", "word").count().toArrow()
+    return train(list(sizes), zip(*(got.column(x).to_pylist() for x in ("lang", "word", "count")), strict=True))
 
 
 def identify(docs: DataFrame, model: Model, keep: Sequence[str] = ()) -> DataFrame:
