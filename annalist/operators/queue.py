@@ -105,11 +105,14 @@ def retries_after_failure(progress: DataFrame, failed: DataFrame, now: str) -> D
 def commit_watermarks(progress: DataFrame, raw: DataFrame, marks: DataFrame, now: str) -> DataFrame:
     """Compare-and-set: marks (session, lens, distilled, raw_high_id) apply only if
     the raw row of their generation is still there, or the generation is 0 and the
-    session has no rows. Applied marks clear retries, backoff and drift."""
+    session has no rows. Applied marks clear retries, backoff and drift, but for those
+    whose optional column ``drifted`` is true: they are stamped with ``now``."""
+    if "drifted" not in marks.columns:
+        marks = marks.withColumn("drifted", F.lit(False))
     alive = marks.join(raw.select(F.col("session"), F.col("id").alias("raw_high_id")), ["session", "raw_high_id"], "left_semi")
     empty = marks.where("raw_high_id = 0").join(raw.select("session"), "session", "left_anti")
-    won = alive.unionByName(empty.select(*alive.columns)).select("session", "lens", "distilled")
-    fresh = won.select("session", "lens", "distilled", F.lit(0).alias("retries"), F.lit(now).alias("distilled_at"), F.lit("").alias("next_attempt"), F.lit("").alias("drift_at"))
+    won = alive.unionByName(empty.select(*alive.columns)).select("session", "lens", "distilled", "drifted")
+    fresh = won.select("session", "lens", "distilled", F.lit(0).alias("retries"), F.lit(now).alias("distilled_at"), F.lit("").alias("next_attempt"), F.when(F.col("drifted"), now).otherwise("").alias("drift_at"))
     return progress.join(won, ["session", "lens"], "left_anti").select(*fresh.columns).unionByName(fresh)
 
 

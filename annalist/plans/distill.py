@@ -19,7 +19,7 @@ Model = models.Model
 def drain(store: Store, lenses: Sequence[str], model: Callable[[str], Model], now: str, chunk_chars: int = 0) -> int:
     """Mine what is pending for each lens; the number of (session, lens) marks set.
     Chunks are mined in the tasks; a session whose chunk failed or was truncated
-    keeps its watermark and gets a retry later; drift is stamped."""
+    keeps its watermark and gets a retry later; every drifted one is stamped and counted."""
     done = 0
     for lens in lenses:
         raw, progress = store.read("raw"), store.read("progress")
@@ -29,7 +29,7 @@ def drain(store: Store, lenses: Sequence[str], model: Callable[[str], Model], no
         outcome = models.session_outcomes(mined)
         good = outcome.where("not failed")
         totals = queue.session_totals(raw)
-        marks = good.join(totals, "session").select("session", F.lit(lens).alias("lens"), F.col("n").cast("int").alias("distilled"), F.col("max_id").alias("raw_high_id"))
+        marks = good.join(totals, "session").select("session", F.lit(lens).alias("lens"), F.col("n").cast("int").alias("distilled"), F.col("max_id").alias("raw_high_id"), "drifted")
         rows = mined.where("observation is not null").join(good, "session", "left_semi").join(totals.select("session", F.col("last_ts").alias("ts")), "session")
         rows = rows.select("obs_id", "ts", "session", "lens", "dimension", "observation", "evidence", F.col("poignancy").cast("int").alias("poignancy"), F.lit("mined").alias("source"), F.col("embedding").cast("array<float>").alias("embedding"))
         n = marks.count()
@@ -38,8 +38,6 @@ def drain(store: Store, lenses: Sequence[str], model: Callable[[str], Model], no
         failed = outcome.where("failed").select("session", F.lit(lens).alias("lens"))
         if not failed.isEmpty():
             store.update(lambda s, failed=failed: {"progress": queue.retries_after_failure(s.read("progress"), failed, now)})
-        for r in outcome.where("drifted").select("session").orderBy("session").limit(1).collect():
-            store.record_drift(r["session"], lens, now)
     return done
 
 

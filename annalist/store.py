@@ -175,17 +175,21 @@ class Store:
         return True
 
     def commit_distillation(self, mined: DataFrame, marks: DataFrame, now: str) -> bool:
-        """Observations and watermarks together, or neither: every mark's generation
-        must still be there."""
+        """Observations, watermarks and the count of drifted marks together, or none:
+        every mark's generation must still be there."""
         raw = self.read("raw")
         alive = queue.commit_watermarks(self.spark.createDataFrame([], SCHEMAS["progress"]), raw, marks, now)
         if alive.count() != marks.count():
             return False
+        drift = alive.where("drift_at <> ''").agg(F.count("*").alias("n"), F.max(F.struct("session", "lens")).alias("last")).first()
 
         def change(s: Store) -> dict[str, DataFrame]:
             old, first = s.read("observations"), s.next_id("observations", "seq")
             fresh = tables.insert_or_ignore(old, mined.withColumn("seq", F.monotonically_increasing_id())).withColumn("seq", F.monotonically_increasing_id() + first)
-            return {"observations": old.unionByName(fresh), "progress": queue.commit_watermarks(s.read("progress"), s.read("raw"), marks, now)}
+            changes = {"observations": old.unionByName(fresh), "progress": queue.commit_watermarks(s.read("progress"), s.read("raw"), marks, now)}
+            if drift["n"]:
+                changes["meta"] = s._drift_counted(drift["n"], *drift["last"], now)
+            return changes
 
         self.update(change)
         return True
@@ -205,9 +209,11 @@ class Store:
         new = self.spark.createDataFrame(list(values.items()), SCHEMAS["meta"])
         return self.update(lambda s: {"meta": tables.upsert(s.read("meta"), new, "key")})
 
-    def record_drift(self, session: str, lens: str, now: str) -> int:
-        n = int(self.get("mine_drift_total", "0") or 0) + 1
-        return self.set({"mine_drift_total": str(n), "mine_drift_last_ts": now, "mine_drift_last_session": session, "mine_drift_last_lens": lens})
+    def _drift_counted(self, n: int, session: str, lens: str, now: str) -> DataFrame:
+        """The meta table with ``n`` more drifts, the last of them that of ``session``."""
+        total = int(self.get("mine_drift_total", "0") or 0) + n
+        told = {"mine_drift_total": str(total), "mine_drift_last_ts": now, "mine_drift_last_session": session, "mine_drift_last_lens": lens}
+        return tables.upsert(self.read("meta"), self.spark.createDataFrame(list(told.items()), SCHEMAS["meta"]), "key")
 
     def write_profile(self, lens: str, markdown: str, signature: str) -> int:
         new = self.spark.createDataFrame([(lens, markdown, signature)], SCHEMAS["profiles"])

@@ -83,6 +83,19 @@ def test_distilling(spark, store):
     assert store.read("facet_versions").count() == 0
 
 
+def test_every_drifted_session_is_stamped_and_counted(spark, store):
+    turns = "session string, seq int, ts string, role string, effort string, text string"
+    store.append_raw(spark.createDataFrame([(f"s{k}", 0, "2024-01-01T00:00:00Z", "user", "", "fine" if k == 0 else "odd") for k in range(4)], turns))
+    model = lambda lens: lambda text: models.echo_miner(text) if "fine" in text else "I can't."
+    assert distill.drain(store, ["default"], model, NOW) == 4
+    assert {r["session"]: r["drift_at"] for r in store.read("progress").collect()} == {"s0": "", "s1": NOW, "s2": NOW, "s3": NOW}
+    assert (store.get("mine_drift_total"), store.get("mine_drift_last_session"), store.get("mine_drift_last_lens")) == ("3", "s3", "default")
+    store.append_raw(spark.createDataFrame([("s1", 1, "2024-01-02T00:00:00Z", "user", "", "fine")], turns))
+    assert distill.drain(store, ["default"], lambda lens: models.echo_miner, NOW) == 1
+    assert {r["session"] for r in store.read("progress").where("drift_at <> ''").collect()} == {"s2", "s3"}
+    assert store.get("mine_drift_total") == "3"
+
+
 def test_a_gone_generation_refuses_the_commit(spark, store):
     marks = spark.createDataFrame([("s", "default", 1, 77)], "session string, lens string, distilled int, raw_high_id long")
     assert not store.commit_distillation(store.read("observations").drop("seq"), marks, NOW)
