@@ -75,8 +75,8 @@ def review(store: Store, lens: str, model: Model, now: str, window_bytes: int =
 
 
 def emerge(store: Store, lens: str, judge: Model, now: str, budget: int = 5) -> int:
-    """Candidate arcs that weren't judged yet, best first, to the judge; accepted
-    ones become assertions. Arcs are marked as seen once their outcome is stored."""
+    """Candidate arcs that weren't judged yet, best first, to the judge with all
+    their members; the first well-formed facet of a reply becomes assertions. Arcs are marked as seen once their outcome is stored."""
     obs = store.read("observations")
     versions = store.read("facet_versions")
     cited = versions.select("lens", "dimension", "key", F.explode("because_of").alias("obs_id"))
@@ -85,13 +85,14 @@ def emerge(store: Store, lens: str, judge: Model, now: str, budget: int = 5) ->
     chosen = arcs.to_verify(arcs.candidates(obs, cited, lens), seen, budget).collect()
     accepted, marks = [], {}
     for arc in chosen:
-        told = obs.where(F.col("obs_id").isin(list(arc["ids"]))).select("obs_id", "dimension", "observation").limit(200).collect()
+        told = obs.where(F.col("obs_id").isin(list(arc["ids"]))).select("obs_id", "dimension", "observation").orderBy("obs_id").collect()
         status, items = parse_array(judge(json.dumps({"n": arc["n"], "coverage": arc["coverage"], "facet": arc["facet"], "observations": [r.asDict() for r in told]})))
         if status in ("truncated", "none"):
             continue
-        for x in items[:1]:
+        facets = [x for x in items if all(str(x.get(f) or "").strip() for f in ("dimension", "key", "value"))]
+        for x in facets[:1]:
             accepted += [(lens, str(x.get("dimension") or ""), str(x.get("key") or ""), str(x.get("value") or ""), float(x.get("confidence") or 0), i, len(accepted) + k, False) for k, i in enumerate(arc["ids"])]
-        marks[f"emerge_seen:{lens}:{arc['signature']}"] = json.dumps({"outcome": "accepted" if items else "rejected", "members": arc["n"]})
+        marks[f"emerge_seen:{lens}:{arc['signature']}"] = json.dumps({"outcome": "accepted" if facets else "rejected", "members": arc["n"]})
     if accepted:
         asserts = store.spark.createDataFrame(accepted, "lens string, dimension string, key string, value string, confidence double, obs_id string, ord long, contradicts boolean")
         store.update(lambda s: {"facet_versions": history.apply_assertions(s.read("facet_versions"), asserts, now)})

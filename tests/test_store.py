@@ -101,6 +101,29 @@ def test_a_gone_generation_refuses_the_commit(spark, store):
     assert not store.commit_distillation(store.read("observations").drop("seq"), marks, NOW)
 
 
+def test_the_judge_reads_every_member(spark, store, monkeypatch):
+    n, told = 230, []
+    ids = [f"o{k:03}" for k in range(n)]
+    rows = [(k, i, "2024-01-01", f"s{k % 3}", "l", "d", f"note {k}", "", 1, "mined", [1.0, 0.0]) for k, i in enumerate(ids)]
+    store.commit({"observations": spark.createDataFrame(rows[::-1], SCHEMAS["observations"])})
+    arc = lambda signature: (signature, n, 0.0, "", ids)
+    found = spark.createDataFrame([arc("good"), arc("bad")], "signature string, n long, coverage double, facet string, ids array<string>")
+    monkeypatch.setattr(distill.arcs, "candidates", lambda *a: found)
+    monkeypatch.setattr(distill.arcs, "to_verify", lambda arcs, seen, budget: arcs)
+    malformed, facet = {"dimension": "d", "key": " "}, {"dimension": "d", "key": "k", "value": "v", "confidence": 0.5}
+
+    def judge(text):
+        told.append([r["obs_id"] for r in json.loads(text)["observations"]])
+        return json.dumps([malformed, facet] if len(told) == 1 else [malformed])
+
+    assert distill.emerge(store, "l", judge, NOW) == 2
+    assert told == [ids, ids]
+    outcomes = [json.loads(r["value"])["outcome"] for r in store.read("meta").collect()]
+    assert sorted(outcomes) == ["accepted", "rejected"]
+    got = store.read("facet_versions").collect()
+    assert [(r["key"], r["value"], sorted(r["because_of"])) for r in got] == [("k", "v", ids)]
+
+
 def asserts(spark, *rows):
     return spark.createDataFrame([("l", "d", "k", v, c, o, n, x) for n, (v, c, o, x) in enumerate(rows)], "lens string, dimension string, key string, value string, confidence double, obs_id string, ord long, contradicts boolean")
 
