@@ -1,7 +1,9 @@
 """Quality classifier: nearest-neighbour voting over latent-semantic vectors.
 
 A document becomes hashed counts of its words, of the shapes of its blank-free
-chunks (``Word,`` is ``Aa,``) and of coarse statistics of the whole text. On a
+chunks (``Word,`` is ``Aa,``) and of coarse statistics of the whole text. Chunks
+of more than ``PIECE`` characters, as in texts without blanks, are cut into
+consecutive pieces that all count, as do all their character trigrams. On a
 bounded sample of labelled rows, at most ``MAX_PER_CLASS`` of each class, these
 are weighted by log count and inverse document frequency and reduced by a
 singular value decomposition. The labelled vectors and the projection (both of a
@@ -21,7 +23,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator, Sequence
+from collections import Counter
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +38,15 @@ BUCKETS = 1 << 14
 DIMENSIONS, NEIGHBOURS = 48, 9
 ACCEPT = 0.7
 CACHE_CHUNKS = 300_000
+PIECE = 64
 
 _STRIP = re.compile(r"^\W+|\W+$")
 _RUNS = re.compile(r"(.)\1{2,}", re.S)
 
 
 def _shape(chunk: str) -> str:
-    out = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in chunk[:64])
-    return _RUNS.sub(r"\1\1", re.sub(r"A+", "A", re.sub(r"a+", "a", out)))[:12]
+    out = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in chunk)
+    return _RUNS.sub(r"\1\1", re.sub(r"A+", "A", re.sub(r"a+", "a", out)))
 
 
 def _bucket(term: str) -> int:
@@ -50,13 +54,13 @@ def _bucket(term: str) -> int:
 
 
 class Features:
-    """Hashed term counts of texts; chunks are looked at once."""
+    """Hashed term counts of texts; pieces of chunks are looked at once."""
 
     def __init__(self) -> None:
         self._cache: dict[str, tuple[int, int]] = {}
 
     def _chunk(self, chunk: str) -> tuple[int, int]:
-        got = self._cache[chunk] = (_bucket("w:" + _STRIP.sub("", chunk[:64]).lower()), _bucket("s:" + _shape(chunk)))
+        got = self._cache[chunk] = (_bucket("w:" + _STRIP.sub("", chunk).lower()), _bucket("s:" + _shape(chunk)))
         return got
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -67,13 +71,25 @@ class Features:
         if len(self._cache) > CACHE_CHUNKS:
             self._cache.clear()
         known, look = self._cache.get, self._chunk
-        pairs = np.array([known(c) or look(c) for c in chunks], np.int64)
+        if max(map(len, chunks)) <= PIECE:
+            pairs = np.array([known(c) or look(c) for c in chunks], np.int64)
+            distinct, grams = len(np.unique(pairs[:, 0])), np.zeros(0, np.int64)
+        else:
+            cut = [[known(p) or look(p) for p in (c[i : i + PIECE] for i in range(0, len(c), PIECE))] for c in chunks]
+            pairs = np.array([p for ps in cut for p in ps], np.int64)
+            distinct, grams = len({tuple(w for w, _ in ps) for ps in cut}), self._trigrams(c for c in chunks if len(c) > PIECE)
         shapes = pairs[:, 1]
         two = (shapes[:-1] * 31 + shapes[1:] + 7) % BUCKETS
-        idx, n = np.unique(np.concatenate([pairs.ravel(), two]), return_counts=True)
-        told = np.array([_bucket(f"t:{k}:{v}") for k, v in self._statistics(text, chunks, len(np.unique(pairs[:, 0])))])
+        idx, n = np.unique(np.concatenate([pairs.ravel(), two, grams]), return_counts=True)
+        told = np.array([_bucket(f"t:{k}:{v}") for k, v in self._statistics(text, chunks, distinct)])
         return np.concatenate([idx, told]), np.concatenate([n, np.full(len(told), max(1.0, len(chunks) / 4))])
 
+    @staticmethod
+    def _trigrams(chunks: Iterable[str]) -> np.ndarray:
+        """The bucket of each character trigram, as often as it occurs."""
+        seen = Counter(c[i : i + 3] for c in map(str.lower, chunks) for i in range(len(c) - 2))
+        return np.repeat(np.array([_bucket("g:" + g) for g in seen], np.int64), list(seen.values()))
+
     @staticmethod
     def _statistics(text: str, chunks: list[str], distinct: int) -> Iterator[tuple[str, int]]:
         n = len(chunks)

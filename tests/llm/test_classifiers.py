@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from annalist.llm import language, quality
@@ -65,9 +66,22 @@ def test_quality(spark, docs):
     assert quality.classify(docs.select("doc_id", "text").where("false"), labels.where("false")).count() == 0
 
 
-def test_votes_equal_brute_force():
-    import numpy as np
+def test_long_chunks_count_whole():
+    same, features = "x" * 64, quality.Features()
+    whole = [dict(zip(*map(list, features.counts(same + rest)), strict=True)) for rest in ("ab" * 80, "ba" * 79 + "cd", "A1" * 80)]
+    assert all(a != b for a, b in zip(whole, whole[1:], strict=False))
+    start = "文" * 80
+    texts = [start + "".join(random.Random(k).choices("甲乙丙丁" if k % 2 else "子丑寅卯", k=200)) for k in range(60)]
+    model = quality.train([features.counts(t) for t in texts[:40]], [k % 2 for k in range(40)])
+    got = model.scores(np.array([model.vector(*features.counts(t)) for t in texts[40:]]))
+    assert [int(x >= 0.7) for x in got] == [k % 2 for k in range(20)]
+
+
+def test_shapes_are_read_whole():
+    assert quality._shape("a-1-" * 4 + "?") != quality._shape("a-1-" * 4 + "!")
 
+
+def test_votes_equal_brute_force():
     rng = np.random.default_rng(0)
     v = rng.standard_normal((200, 5))
     v /= np.linalg.norm(v, axis=1)[:, None]
