@@ -53,7 +53,7 @@ class Model:
 
     def backoff(self, word: str) -> np.ndarray:
         """The mean over the longest known n-grams of an unseen word."""
-        marked = f"^{word[:60]}$"
+        marked = f"^{word}$"
         for n in range(LONGEST, 0, -1):
             known = self.grams[n - 1]
             at = [known[g] for g in (marked[i : i + n] for i in range(len(marked) - n + 1)) if g in known]

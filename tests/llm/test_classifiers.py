@@ -41,6 +41,11 @@ def test_backoff_uses_the_longest_known_grams():
     assert model.backoff("xyzzq")[0] > model.backoff("xyzzq")[1]
 
 
+def test_backoff_reads_the_whole_run():
+    model = language.train(["a", "b"], [("a", "xyzzy", 9), ("b", "plugh", 9)])
+    assert model.predict(["xyzzy" * 13 + "plugh" * 100])[0] == ["b"]
+
+
 def test_every_word_of_the_sample_is_in_the_model(spark):
     common = ["".join(chr(97 + int(d)) for d in str(k)) for k in range(100_001)]
     rows = [(0, " ".join(common * 2), "a"), (1, "zqxjw zqxjv", "b")]
