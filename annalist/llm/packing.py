@@ -84,7 +84,10 @@ class _ChunkTokenizer:
 
 def _lowered(text: str) -> str:
     """Lower case where that is what the tokenizer makes of each character, so
-    that more chunks are alike."""
+    that more chunks are alike. Texts with ``<|`` stay as they are: special tokens
+    match in exact case."""
+    if "<|" in text:
+        return text
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:

@@ -56,6 +56,12 @@ def test_odd_chunks():
         assert np.frombuffer(packing._tokenizer(WORDS).ids([t])[0], "<u4").tolist() == TOKENIZER.encode(t, add_special_tokens=False).ids
 
 
+def test_special_tokens_match_in_exact_case():
+    texts = ["One <|ENDOFTEXT|> Two", "x<|EndOfText|>", "A <|endoftext|> <|STARTOFTEXT|> B"]
+    got = packing._ChunkTokenizer(WORDS).ids(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [TOKENIZER.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def ffd(lengths, capacity):
     rooms = []
     for x in sorted(lengths, reverse=True):
