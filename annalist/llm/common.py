@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+from typing import Any
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import discard, materialise, scratch_root
+from ..scratch import discard, materialise, release, scratch_root
 
-__all__ = ["discard", "held_out", "materialise", "mix64", "read_table", "scratch_root"]
+__all__ = ["Fitted", "discard", "fit_in_task", "held_out", "materialise", "mix64", "read_table", "release", "scratch_root"]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -16,6 +21,33 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+class Fitted:
+    """A model in its pickled form, as it is broadcast; each Python worker reads it once."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data = data
+
+    def __getstate__(self) -> dict:
+        return {"data": self.data}
+
+    @property
+    def model(self) -> Any:
+        if "_model" not in self.__dict__:
+            self._model = pickle.loads(self.data)
+        return self._model
+
+
+def fit_in_task(rows: DataFrame, train: Callable[[list[pa.RecordBatch]], Any]) -> Fitted:
+    """Train on all of ``rows``, whose size a parameter of the caller bounds, in
+    one task, so that the driver holds the finished model alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(list(batches)), 5)], pa.binary())], names=["model"])
+
+    got = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    return Fitted(bytes(got[0]["model"]) if got else pickle.dumps(train([]), 5))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (splitmix64) on uint64 arrays."""
     x = x.astype(np.uint64, copy=True)

@@ -18,6 +18,7 @@ read for a prediction.
 
 from __future__ import annotations
 
+import pickle
 import re
 from array import array
 from collections.abc import Iterable, Iterator, Sequence
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import Fitted, fit_in_task, held_out
 
 MAX_PER_LANGUAGE = 4000
 LONGEST, SHARPEST = 5, 24
@@ -122,29 +123,33 @@ def train(languages: Sequence[str], counted: Iterable[tuple[str, str, int]]) ->
     return Model(languages, words, _logs(counts, 0.5), grams, logs)
 
 
-def fit(docs: DataFrame, max_per_language: int = MAX_PER_LANGUAGE) -> Model:
-    """Count the words of the sampled labelled rows in Spark; the (language, word,
-    count) rows of the sample come to the driver."""
+def fit(docs: DataFrame, max_per_language: int = MAX_PER_LANGUAGE) -> Fitted:
+    """Count the words of the sampled labelled rows in Spark; one task makes the
+    :class:`Model` of the sample's (language, word, count) rows."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
-        return train([], [])
+        return Fitted(pickle.dumps(train([], [])))
     part = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, int(1_000_000 * min(1.0, max_per_language / n)))))
     sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part[F.col("lang")])
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("word"))
-    got = words.groupBy("lang", "word").count().toArrow()
-    return train(list(sizes), zip(*(got.column(x).to_pylist() for x in ("lang", "word", "count")), strict=True))
+    languages = list(sizes)
 
+    def made(batches: list[pa.RecordBatch]) -> Model:
+        return train(languages, (row for b in batches for row in zip(*(b.column(x).to_pylist() for x in range(3)), strict=True)))
 
-def identify(docs: DataFrame, model: Model, keep: Sequence[str] = ()) -> DataFrame:
+    return fit_in_task(words.groupBy("lang", "word").count().select("lang", "word", "count"), made)
+
+
+def identify(docs: DataFrame, model: Fitted, keep: Sequence[str] = ()) -> DataFrame:
     """_id, _lang, _score of each row, and the columns named in ``keep``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [f for f in docs.schema.fields if f.name in keep]
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"), *(F.col(f"`{f.name}`") for f in fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = shared.value.model
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
@@ -154,7 +159,7 @@ def identify(docs: DataFrame, model: Model, keep: Sequence[str] = ()) -> DataFra
     return rows.mapInArrow(run, ", ".join(["_id long", "_lang string", "_score double", *(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)]))
 
 
-def keep_known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+def keep_known(docs: DataFrame, model: Fitted, least: float = 0.5) -> DataFrame:
     """The rows of ``docs``, as they are, in a learned language with a score of
     ``least`` or more."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -164,7 +169,7 @@ def keep_known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 b = whole.slice(start, 512)
-                langs, scores = shared.value.predict(b.column(at).to_pylist())
+                langs, scores = shared.value.model.predict(b.column(at).to_pylist())
                 yield b.filter(pa.array([x != "und" and y >= least for x, y in zip(langs, scores, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

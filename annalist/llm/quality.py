@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import Fitted, fit_in_task, held_out
 
 MAX_PER_CLASS = 1200
 BUCKETS = 1 << 14
@@ -187,22 +187,26 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> Model:
-    """A model from the sampled labelled rows; their hashed counts, at most
-    2 * max_per_class * BUCKETS numbers, are all that comes to the driver."""
+def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> Fitted:
+    """A model from the sampled labelled rows, made in one task of their hashed
+    counts, at most 2 * max_per_class * BUCKETS numbers."""
     sample = _labelled(docs, labels, max_per_class).mapInArrow(_counted, "doc_id long, label int, idx array<long>, n array<double>")
-    rows = sorted(sample.toArrow().to_pylist(), key=lambda r: r["doc_id"])
-    return train([(np.array(r["idx"], np.int64), np.array(r["n"], float)) for r in rows], [r["label"] for r in rows])
 
+    def made(batches: list[pa.RecordBatch]) -> Model:
+        rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["doc_id"])
+        return train([(np.array(r["idx"], np.int64), np.array(r["n"], float)) for r in rows], [r["label"] for r in rows])
 
-def score(docs: DataFrame, model: Model, keep: Sequence[str] = ()) -> DataFrame:
+    return fit_in_task(sample, made)
+
+
+def score(docs: DataFrame, model: Fitted, keep: Sequence[str] = ()) -> DataFrame:
     """doc_id, score, and the columns named in ``keep`` as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [f for f in docs.schema.fields if f.name in keep]
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"), *(F.col(f"`{f.name}`") for f in fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, features = shared.value, Features()
+        m, features = shared.value.model, Features()
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
@@ -215,13 +219,13 @@ def score(docs: DataFrame, model: Model, keep: Sequence[str] = ()) -> DataFrame:
     return out
 
 
-def keep_good(docs: DataFrame, model: Model, accept: float = ACCEPT) -> DataFrame:
+def keep_good(docs: DataFrame, model: Fitted, accept: float = ACCEPT) -> DataFrame:
     """The rows of ``docs``, as they are, whose score is ``accept`` or more."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.schema.names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, features = shared.value, Features()
+        m, features = shared.value.model, Features()
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 b = whole.slice(start, 512)

@@ -50,7 +50,7 @@ def test_every_word_of_the_sample_is_in_the_model(spark):
     common = ["".join(chr(97 + int(d)) for d in str(k)) for k in range(100_001)]
     rows = [(0, " ".join(common * 2), "a"), (1, "zqxjw zqxjv", "b")]
     assert not any(zlib.crc32(str(k).encode()) % 4 == 2 for k, _, _ in rows)
-    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).model
     assert len(model.words) == 100_003 and {"zqxjw", "zqxjv"} <= set(model.words)
     assert model.predict(["zqxjw", "zqxjk", "abcabc"])[0] == ["b", "b", "a"]
     assert "zqxj" in model.grams[3]

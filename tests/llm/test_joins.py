@@ -65,7 +65,8 @@ def corpus(seed):
 @pytest.mark.parametrize("width, threshold, block", [(3, Fraction(9, 10), 512), (3, Fraction(9, 10), 12), (5, Fraction(4, 5), 12)])
 def test_jaccard_join_equals_brute_force(spark, monkeypatch, width, threshold, block):
     monkeypatch.setattr(shingles, "BLOCK_ROWS", block)
-    monkeypatch.setattr(shingles, "SKETCH_ROWS", block // 2)
+    monkeypatch.setattr(shingles, "BUCKET_ROWS", block)
+    monkeypatch.setattr(shingles, "HELD_ROWS", 40 * block)
     docs = corpus(block)
     sets = word_sets(docs, width)
     df = spark.createDataFrame([(i, t, i) for i, t in docs], "doc_id long, text string, node long")  # a clashing name
