@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -45,3 +46,10 @@ def discard(df: DataFrame) -> None:
         sc = df.sparkSession.sparkContext
         where = sc._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files and plans of what nothing refers to any
+    more: its cleaner learns of them from the driver's garbage collection alone."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
