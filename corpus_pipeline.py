@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from annalist.llm import language, packing, quality, secrets, shingles
-from annalist.llm.common import materialise
+from annalist.llm.common import discard, materialise, release
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents score from 0 to 1; only those that most neighbours vote against go.
@@ -60,5 +60,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        rows = materialise(stage(spark, rows, sf_dir), name)
+        before, rows = rows, materialise(stage(spark, rows, sf_dir), name)
+        discard(before)
+        release(spark)
     return STAGES[-1][1](spark, rows, sf_dir)
