@@ -9,7 +9,8 @@ header and payload are JSON objects, or PEM blocks around such a key.
 Defined cases: a null text counts as empty and has no spans; an empty text has
 none either; repeated rows each get their own result; other columns of the
 input are not read, so clashing names do no harm; an empty table gives an
-empty result. Work and memory per row are linear in the length of its text.
+empty result. Of the keys that end where a run does, the outermost is reported.
+Work and memory per row are linear in the length of its text.
 """
 
 from __future__ import annotations
@@ -35,9 +36,16 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 # A run of [0-9a-f]+ that is long enough is exactly a maximal run of 32 or more.
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}(?![0-9A-Fa-f])")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)(?![A-Za-z0-9_-])")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{3,40})-----([A-Za-z0-9+/=\s:,.\\-]*?)-----END \1-----")
+_PEM_LINE = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{3,40})-----")
+_PEM_BODY = re.compile(r"[A-Za-z0-9+/=\s:,.\\-]*")
+#: Where an ASN.1 SEQUENCE or an SSH blob may begin in decoded bytes.
+_BLOB = re.compile(rb"(?=\x30[\x16-\x7f\x81-\x84]|\x00\x00\x00.(?:ssh-|ecdsa-sha2-|sk-)|openssh-key-v1\x00)", re.S)
+#: How a SEQUENCE, an SSH length or its magic begin in base64.
+_SIGNS64 = ("M", "AAAA", "b3BlbnNzaC1")
+#: No level of a key that is looked at has more items.
+_MOST_ITEMS = 16
 
 
 def _decode64(run: str) -> bytes | None:
@@ -52,9 +60,9 @@ def _decode64(run: str) -> bytes | None:
 
 def _der_items(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
     """(tag, start, end) of the items that fill data[at:end] exactly, else None."""
-    items = []
+    items: list[tuple[int, int, int]] = []
     while at < end:
-        if at + 2 > end:
+        if at + 2 > end or len(items) == _MOST_ITEMS:
             return None
         tag, size = data[at], data[at + 1]
         at += 2
@@ -73,12 +81,12 @@ def _der_items(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | N
     return items
 
 
-def is_der_key(data: bytes) -> bool:
-    """Whether the bytes are one ASN.1 SEQUENCE holding a key: PKCS#1, PKCS#8,
-    SEC 1 or SubjectPublicKeyInfo, with every nested length consistent."""
-    if len(data) < 24 or data[0] != 0x30:
+def is_der_key(data: bytes, at: int = 0) -> bool:
+    """Whether the bytes from ``at`` are one ASN.1 SEQUENCE holding a key: PKCS#1,
+    PKCS#8, SEC 1 or SubjectPublicKeyInfo, with every nested length consistent."""
+    if len(data) - at < 24 or data[at] != 0x30:
         return False
-    top = _der_items(data, 0, len(data))
+    top = _der_items(data, at, len(data))
     if not top or len(top) != 1:
         return False
     items = _der_items(data, top[0][1], top[0][2])
@@ -101,34 +109,67 @@ def is_der_key(data: bytes) -> bool:
     return False
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """Whether the bytes are an SSH key blob whose length-prefixed fields end at the end."""
-    if data.startswith(b"openssh-key-v1\0"):
-        at, fields = 15, 0
+def _fields_left(data: bytes, at: int, known: dict[int, int]) -> int:
+    """How many length-prefixed fields lead from ``at`` to the very end; -1 if none
+    do. ``known`` keeps the answers, so that all walks over ``data`` are one pass."""
+    path = []
+    while at not in known:
+        path.append(at)
+        if at == len(data):
+            known[at] = 0
+        elif at + 4 > len(data) or (after := at + 4 + int.from_bytes(data[at : at + 4], "big")) > len(data):
+            known[at] = -1
+        else:
+            at = after
+    left = known[at]
+    for k, x in enumerate(reversed(path)):
+        known[x] = known[x] if k == 0 and x in known else (left := left + 1 if left >= 0 else -1)
+    return known[path[0]] if path else left
+
+
+def is_ssh_key(data: bytes, at: int = 0, known: dict[int, int] | None = None) -> bool:
+    """Whether the bytes from ``at`` are an SSH key blob whose length-prefixed
+    fields end at the end."""
+    known = {} if known is None else known
+    if data.startswith(b"openssh-key-v1\0", at):
+        at += 15
         for _ in range(3):  # cipher, kdf name, kdf options
             if at + 4 > len(data):
                 return False
             at += 4 + int.from_bytes(data[at : at + 4], "big")
         if at + 4 > len(data):
             return False
-        fields = int.from_bytes(data[at : at + 4], "big")
-        at += 4
-        for _ in range(min(fields, 64) + 1):  # public keys, then the private part
-            if at + 4 > len(data):
-                return False
-            at += 4 + int.from_bytes(data[at : at + 4], "big")
-        return at == len(data) and fields >= 1
-    if len(data) < 16 or data[:3] != b"\0\0\0":
+        keys = int.from_bytes(data[at : at + 4], "big")
+        return keys >= 1 and _fields_left(data, at + 4, known) == keys + 1  # public keys, then the private part
+    if len(data) - at < 16 or data[at : at + 3] != b"\0\0\0":
         return False
-    at, first = 0, None
-    while at + 4 <= len(data):
-        size = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + size > len(data):
-            return False
-        if first is None:
-            first = data[at + 4 : at + 4 + size]
-        at += 4 + size
-    return at == len(data) and bool(re.match(rb"(ssh-|ecdsa-sha2-|sk-)[a-z0-9@.-]+$", first or b""))
+    first = data[at + 4 : at + 4 + data[at + 3]]
+    return bool(re.match(rb"(ssh-|ecdsa-sha2-|sk-)[a-z0-9@.-]+$", first)) and _fields_left(data, at, known) > 1
+
+
+def _blobs(data: bytes, step: int) -> Iterator[tuple[int, str]]:
+    """(place, kind) of the keys in ``data`` that reach its end, at multiples of ``step``."""
+    known: dict[int, int] = {}
+    for m in _BLOB.finditer(data):
+        at = m.start()
+        if at % step == 0:
+            if data[at] == 0x30:
+                if is_der_key(data, at):
+                    yield at, "der"
+            elif is_ssh_key(data, at, known):
+                yield at, "ssh"
+
+
+def _pem(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, body) of armoured blocks: from the last BEGIN before an END of its name."""
+    begin = None
+    for m in _PEM_LINE.finditer(text):
+        if m[1] == "BEGIN":
+            begin = m
+        elif begin is not None:
+            if begin[2] == m[2] and (body := _PEM_BODY.match(text, begin.end(), m.start())) and body.end() == m.start():
+                yield begin.start(), m.end(), body.group()
+            begin = None
 
 
 def _json_object(part: str) -> dict | None:
@@ -161,24 +202,28 @@ def _confirmed(text: str) -> Iterator[tuple[int, int, str]]:
             if head and isinstance(head.get("alg"), str) and head["alg"].lower() != "none" and _json_object(m[2]) is not None and len(_decode64(m[3]) or b"") >= 16:
                 yield m.start(), m.end(), "jwt"
     if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            if "KEY" in m[1]:
-                body = re.sub(r"(?m)^[A-Za-z-]+:.*$|\\[nr]|\s", "", m[2])
-                data = _decode64(body)
+        for start, end, body in _pem(text):
+            if "KEY" in text[start : start + 60].split("-----")[1]:
+                data = _decode64(re.sub(r"(?m)^[A-Za-z-]+:.*$|\\[nr]|\s", "", body))
                 if data and (is_der_key(data) or is_ssh_key(data)):
-                    yield m.start(), m.end(), "pem"
+                    yield start, end, "pem"
     for m in _BASE64.finditer(text):
-        run = m.group()
-        # A DER SEQUENCE, an SSH length field or its magic begin with these letters.
-        if run[0] in "MAb" and (data := _decode64(run)):
-            if run[0] == "M" and is_der_key(data):
-                yield m.start(), m.end(), "der"
-            elif run[0] != "M" and is_ssh_key(data):
-                yield m.start(), m.end(), "ssh"
+        # Characters before a key may shift it, so each of the four phases is decoded
+        # once; a key begins at a whole group of four characters, three bytes.
+        body = m.group().rstrip("=")
+        if not any(x in body for x in _SIGNS64):
+            continue
+        for phase in range(min(4, len(body))):
+            if (data := _decode64(body[phase:])) is not None:
+                for at, kind in _blobs(data, 3):
+                    yield m.start() + phase + at // 3 * 4, m.end(), kind
+                    break
     for m in _HEX_ANY.finditer(text):
         run = m.group()
-        if run[:2] == "30" and len(run) % 2 == 0 and is_der_key(bytes.fromhex(run)):
-            yield m.start(), m.end(), "der"
+        if len(run) % 2 == 0 and any(x in run.lower() for x in ("30", "000000", "6f70656e")):
+            for at, kind in _blobs(bytes.fromhex(run), 1):
+                yield m.start() + 2 * at, m.end(), kind
+                break
 
 
 def find_spans(text: str | None) -> list[tuple[str, int, int]]:

@@ -2,6 +2,7 @@ import base64
 import hashlib
 import json
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -76,3 +77,27 @@ def test_rows(spark):
     docs = spark.createDataFrame([(1, "secret: 12345678", 16)], "doc_id long, text string, n_chars long")
     assert secrets.redact_documents(docs).collect()[0][1:] == ("[secret]", 8)
     assert secrets.scan(df).where("size(spans) = 1").count() == 3
+
+
+def test_keys_at_any_place_of_a_run():
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    ssh = field(b"ssh-rsa") + field(b"\x01\x00\x01") + field(b"n" * 64)
+    keys = 70
+    opened = b"openssh-key-v1\0" + field(b"none") * 2 + field(b"") + keys.to_bytes(4, "big") + field(ssh) * keys + field(b"p" * 32)
+    assert secrets.is_ssh_key(opened) and not secrets.is_ssh_key(opened[:-1]) and not secrets.is_ssh_key(opened + field(b"x"))
+    added = lambda t: [x for x in secrets.find_spans(t) if x[0] not in secrets.BASE_KINDS]
+    for before in range(6):
+        for kind, key in (("der", DER), ("ssh", ssh), ("ssh", opened)):
+            run = b64(key)
+            assert added(": " + "/" * before + run) == [(kind, 2 + before, 2 + before + len(run))]
+    assert added(": " + ssh.hex()) == [("ssh", 2, 2 + 2 * len(ssh))]
+    assert added(": 00ff" + DER.hex()) == [("der", 6, 6 + 2 * len(DER))]
+
+
+def test_long_texts_take_linear_time():
+    field = (4).to_bytes(4, "big") + b"ssh-"
+    texts = ["-----BEGIN A KEY-----" * 240_000, "-----BEGIN A KEY----------END B KEY-----" * 120_000, "eyJ" + "a" * 5_000_000, ("token" + " " * 20) * 200_000, "M" * 5_000_000, b64(field * 470_000), b64(b"\x02\x04\x30\x82\xff\xff" * 600_000), "30" * 2_500_000, "." * 5_000_000]
+    for t in texts:
+        start = time.process_time()
+        secrets.find_spans(t)
+        assert time.process_time() - start < 60
