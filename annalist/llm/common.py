@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import pickle
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -28,12 +29,12 @@ class Fitted:
         self.data = data
 
     def __getstate__(self) -> dict:
-        return {"data": self.data}
+        return {"data": self.data or pickle.dumps(self._model, 5)}
 
     @property
     def model(self) -> Any:
         if "_model" not in self.__dict__:
-            self._model = pickle.loads(self.data)
+            self._model, self.data = pickle.loads(self.data), b""
         return self._model
 
 
@@ -42,7 +43,11 @@ def fit_in_task(rows: DataFrame, train: Callable[[list[pa.RecordBatch]], Any]) -
     one task, so that the driver holds the finished model alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(list(batches)), 5)], pa.binary())], names=["model"])
+        data = pickle.dumps(train(list(batches)), 5)
+        gc.collect()
+        yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["model"])
+        del data
+        pa.default_memory_pool().release_unused()
 
     got = rows.repartition(1).mapInArrow(run, "model binary").collect()
     return Fitted(bytes(got[0]["model"]) if got else pickle.dumps(train([]), 5))

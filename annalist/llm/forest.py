@@ -2,18 +2,19 @@
 
 Each tree splits at the median of the projection on the difference of two sample
 vectors. Trees are fitted on a bounded sample (``SAMPLE_ROWS``) and deep enough
-for leaves of about ``LEAF_ROWS``; every vector of the table is put into its leaf
-of every tree. A query pops leaves of all trees from one priority queue, nearest
-hyperplane margin first, until the popped leaves hold ``SEARCH_SHARE`` of as many
-rows as the table has. Leaves and queries meet in slots of bounded size, where
-the candidates are ranked exactly, in double precision; each slot passes on only
-the best of each query.
+for leaves of a ``LEAVES``-th of the table, within ``LEAF_ROWS``; every vector of
+the table is put into its leaf of every tree. A query pops leaves of all trees
+from one priority queue, by the sum of the squared margins that its path gave
+up, until the popped leaves hold ``SEARCH_SHARE`` of as many rows as the table
+has, repeats over trees included. Leaves and queries meet in slots of bounded
+size, where the candidates are ranked exactly, in double precision; each slot
+passes on only the best of each query.
 
 On vectors without structure a true neighbour is hardly nearer than others, so
 recall follows the share of rows looked at; the default gives 0.9 and more there
 (see README) and can be lowered for data with structure.
 
-Defined cases: vectors that are null, empty, zero or hold null or non-finite
+Defined cases: an empty table, or one without queries, gives no rows; vectors that are null, empty, zero or hold null or non-finite
 components take no part; equal distances go to the smaller vec_id; of equal
 vectors, the k + 1 smallest ids are kept as candidates, which no result can need
 more of; fewer candidates than k give all of them; vectors of another length
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 from .vectors import by_key, keyed, matrix
 
-TREES, LEAF_ROWS, SAMPLE_ROWS, SEARCH_SHARE, SLOT_ROWS = 8, 1024, 65_536, 0.85, 8192
+TREES, LEAVES, LEAF_ROWS, SAMPLE_ROWS, SEARCH_SHARE, SLOT_ROWS = 16, 128, (16, 1024), 65_536, 0.9, 8192
 
 
 class Forest:
@@ -64,27 +65,25 @@ class Forest:
         for t in range(self.trees):
             node = np.zeros(len(x), np.int64)
             for _ in range(self.depth):
-                side = np.einsum("ij,ij->i", x, self.normals[t][node]) > self.cuts[t][node]
+                side = np.einsum("ij,ij->i", x, self.normals[t][node], dtype=float) > self.cuts[t][node]
                 node = 2 * node + 1 + side
             out[:, t] = t * 2**self.depth + node - (2**self.depth - 1)
         return out
 
     def search(self, q: np.ndarray, rows_in: np.ndarray, budget: float) -> list[int]:
         """Leaves for one query, by one queue over all trees."""
-        if not self.depth:
-            return [0]
-        margins = self.normals.reshape(-1, len(q)) @ q
+        margins = self.normals.reshape(-1, len(q)) @ q.astype(float)
         margins = margins.reshape(self.trees, -1) - self.cuts
         inner = 2**self.depth - 1
         queue = [(0.0, t, 0) for t in range(self.trees)]
         found, held = [], 0
         while queue and held < budget:
-            worst, t, node = heapq.heappop(queue)
+            lost, t, node = heapq.heappop(queue)
             while node < inner:
                 m = margins[t, node]
                 near = 2 * node + 1 + int(m > 0)
                 far = 4 * node + 3 - near
-                heapq.heappush(queue, (max(worst, abs(float(m))), t, far))
+                heapq.heappush(queue, (lost + float(m) ** 2, t, far))
                 node = near
             leaf = t * 2**self.depth + node - inner
             found.append(leaf)
@@ -101,7 +100,7 @@ def _rank_in_slot(k: int):
         at, to = np.flatnonzero(query), np.flatnonzero(~query)
         if not len(at) or not len(to):
             return
-        vec = matrix(t.column("vec"))
+        vec = matrix(t.column("vec")).astype(float)
         x, ids = vec[to], t.column("ids").combine_chunks().take(pa.array(to))
         first = np.array([i[0].as_py() for i in ids])
         norms = (x * x).sum(1)
@@ -127,7 +126,9 @@ def _rank_in_slot(k: int):
 def search(vectors: DataFrame, is_query: Column, k: int = 10, share: float = SEARCH_SHARE, trees: int = TREES) -> DataFrame:
     """query_id, rank, vec_id, score (Euclidean distance) for the rows of
     (vec_id, embedding) that ``is_query``, against all other rows."""
-    rows = keyed(vectors)
+    # Components travel in the type that they came in; distances are in double precision.
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = keyed(vectors).withColumn("vec", F.col("vec").cast(kind))
     sizes = {r["n"]: r["count"] for r in rows.groupBy(F.size("vec").alias("n")).count().collect()}
     dim = max(sizes, key=lambda n: (sizes[n], -n), default=1)
     rows = materialise(rows.where(F.size("vec") == dim), "vectors")
@@ -136,11 +137,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, share: float = SEA
     nodes = few.groupBy("a", "b").agg(F.any_value("vec").alias("vec"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
     nodes = materialise(nodes, "nodes")
     total = nodes.count()
-    depth = min(ceil(log2(max(1, total / LEAF_ROWS))), int(log2(SAMPLE_ROWS / 8)))
+    leaf = min(max(total / LEAVES, LEAF_ROWS[0]), LEAF_ROWS[1])
+    depth = max(1, min(ceil(log2(max(1, total / leaf))), int(log2(SAMPLE_ROWS / 8))))
     part = int(1_000_000 * min(1.0, SAMPLE_ROWS / max(1, total)))
-    sample = nodes.where(F.pmod(F.col("a"), F.lit(1_000_000)) < part).select("vec") if depth else nodes.limit(1).select("vec")
+    sample = nodes.where(F.pmod(F.col("a"), F.lit(1_000_000)) < part).select("vec")
     fitted = matrix(sample.toArrow().column("vec"))
-    forest = Forest(fitted if len(fitted) else np.zeros((1, dim)), trees if depth else 1, depth)
+    forest = Forest(fitted if len(fitted) else np.zeros((1, dim)), trees, depth)
     shared = rows.sparkSession.sparkContext.broadcast(forest)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +150,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, share: float = SEA
             found = shared.value.leaves(matrix(b.column("vec")))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(found), pa.list_(pa.int64()))], names=[*b.schema.names, "leaves"])
 
-    placed = materialise(nodes.select("a", "b", "vec", "ids").mapInArrow(place, "a long, b long, vec array<double>, ids array<long>, leaves array<long>"), "placed")
+    placed = materialise(nodes.select("a", "b", "vec", "ids").mapInArrow(place, f"a long, b long, vec {kind}, ids array<long>, leaves array<long>"), "placed")
     rows_in = np.zeros(forest.trees * 2**depth, np.int64)
     for r in placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect():
         rows_in[r["leaf"]] = r["count"]
@@ -172,8 +174,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, share: float = SEA
     asked = rows.where(is_query).select("vec_id", "a", "b")
     query_keys = asked.select("a", "b").distinct()
     queries = placed.select("a", "b", "vec").join(query_keys, ["a", "b"], "left_semi")
-    queries = queries.mapInArrow(wanted, "a long, b long, vec array<double>, slots array<long>")
-    hosts = placed.mapInArrow(dealt, "a long, b long, vec array<double>, ids array<long>, slots array<long>")
+    queries = queries.mapInArrow(wanted, f"a long, b long, vec {kind}, slots array<long>")
+    hosts = placed.mapInArrow(dealt, f"a long, b long, vec {kind}, ids array<long>, slots array<long>")
     met = hosts.select(F.explode("slots").alias("slot"), F.lit(False).alias("query"), "a", "b", "vec", "ids").unionByName(
         queries.select(F.explode("slots").alias("slot"), F.lit(True).alias("query"), "a", "b", "vec", F.lit(None).cast("array<long>").alias("ids"))
     )

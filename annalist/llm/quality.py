@@ -193,8 +193,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS)
     sample = _labelled(docs, labels, max_per_class).mapInArrow(_counted, "doc_id long, label int, idx array<long>, n array<double>")
 
     def made(batches: list[pa.RecordBatch]) -> Model:
-        rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["doc_id"])
-        return train([(np.array(r["idx"], np.int64), np.array(r["n"], float)) for r in rows], [r["label"] for r in rows])
+        if not batches:
+            return train([], [])
+        t = pa.Table.from_batches(batches).combine_chunks().sort_by("doc_id").combine_chunks()
+        idx, n = (t.column(c).chunk(0) if t.num_rows else pa.array([], pa.list_(pa.int64())) for c in ("idx", "n"))
+        at = idx.offsets.to_numpy()
+        one, two = idx.values.to_numpy(), n.values.to_numpy()
+        return train([(one[s:e], two[s:e]) for s, e in zip(at, at[1:], strict=False)], t.column("label").to_pylist())
 
     return fit_in_task(sample, made)
 

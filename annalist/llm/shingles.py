@@ -47,13 +47,13 @@ from ..operators.graph import components
 from .common import discard, materialise, mix64, release
 from .vectors import by_key
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 #: Sets in a block of a large candidate group, about.
 BLOCK_ROWS = 1024
 #: Nodes of a bucket that is compared in one piece.
 BUCKET_ROWS = 8192
 #: Signatures in a part, about; and those that a task packs or holds at once.
-PART_ROWS, FLUSH_ROWS, HELD_ROWS = 2_000_000, 4_000_000, 8_000_000
+PART_ROWS, FLUSH_ROWS, HELD_ROWS = 1_000_000, 1_000_000, 4_000_000
 #: Hash seeds tried before signatures of empty halves are given out.
 SEEDS = 4
 _MUL = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))

@@ -1,9 +1,11 @@
+import os
 import random
 import re
 from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,30 +153,47 @@ def test_caps_miss_nearly_no_pair_at_the_threshold():
     assert missed <= 5
 
 
-def test_forest_recall_and_exact_scores(spark, monkeypatch):
-    monkeypatch.setattr(forest, "LEAF_ROWS", 40)
-    monkeypatch.setattr(forest, "SLOT_ROWS", 25)
-    e = vectors(900, 2)
-    x = e.astype(float)
-    rows = forest.search(frame(spark, e), F.col("vec_id") % 20 == 0).collect()
+def recall(x, ids, rows, k=10):
     got = defaultdict(list)
     for r in sorted(rows, key=lambda r: (r.query_id, r.rank)):
         got[r.query_id].append((r.score, r.vec_id))
+    place = {i: n for n, i in enumerate(ids)}
     found = 0
-    for q in range(0, len(e), 20):
-        d = np.sqrt(((x - x[q]) ** 2).sum(1))
-        d[q] = np.inf
-        best = np.lexsort((np.arange(len(e)), d))[:10]
-        assert len(got[q]) == 10 and got[q] == sorted(got[q]) and q not in {i for _, i in got[q]}
-        assert all(abs(s - d[i]) < 1e-12 for s, i in got[q])
-        found += len({i for _, i in got[q]} & set(best.tolist()))
-    assert set(got) == set(range(0, len(e), 20))
-    assert found >= 0.9 * 10 * len(got)
+    for q, near in got.items():
+        d = np.sqrt(((x - x[place[q]]) ** 2).sum(1))
+        d[place[q]] = np.inf
+        best = np.lexsort((ids, d))[:k]
+        assert len(near) == k and near == sorted(near) and q not in {i for _, i in near}
+        assert all(abs(s - d[place[i]]) < 1e-12 for s, i in near)
+        found += len({i for _, i in near} & {ids[n] for n in best})
+    return found / k / len(got), set(got)
+
+
+def test_forest_recall_and_exact_scores(spark, monkeypatch):
+    monkeypatch.setattr(forest, "SLOT_ROWS", 25)
+    e = vectors(900, 2)
+    share, asked = recall(e.astype(float), list(range(len(e))), forest.search(frame(spark, e), F.col("vec_id") % 20 == 0).collect())
+    assert asked == set(range(0, len(e), 20)) and share >= 0.9
+
+
+def test_forest_recall_at_the_defaults(spark):
+    folder = "/root/testdata/sf0.1"
+    if os.path.isdir(folder):
+        given = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding")
+        rows = sorted((r.vec_id, r.embedding) for r in given.collect())
+        share, _ = recall(np.array([v for _, v in rows], float), [i for i, _ in rows], forest.search(given, F.col("vec_id") % 100 == 0).collect())
+        assert share >= 0.9
+    e = np.random.default_rng(8).standard_normal((30_000, 64)).astype(np.float32)
+    e /= np.linalg.norm(e, axis=1)[:, None]
+    many = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(e)), "embedding": list(e)}), "vec_id long, embedding array<float>")
+    share, _ = recall(e.astype(float), list(range(len(e))), forest.search(many, F.col("vec_id") % 1000 == 0).collect())
+    assert share >= 0.9
 
 
 def test_forest_with_few_candidates(spark):
     df = frame(spark, vectors(4, 1)[:1])
     assert forest.search(df, F.col("vec_id") >= 0).count() == 0
+    assert forest.search(df.where("false"), F.col("vec_id") >= 0).count() == 0
     three = spark.createDataFrame([(0, [1.0, 0.0]), (100, [1.0, 0.0]), (200, [0.0, 1.0])], "vec_id long, embedding array<float>")
     got = sorted((r.query_id, r.rank, r.vec_id) for r in forest.search(three, F.col("vec_id") % 100 == 0).collect())
     assert got == [(0, 1, 100), (0, 2, 200), (100, 1, 0), (100, 2, 200), (200, 1, 0), (200, 2, 100)]
