@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,7 +185,7 @@ def test_forest_recall_at_the_defaults(spark):
         assert share >= 0.9
     e = np.random.default_rng(8).standard_normal((30_000, 64)).astype(np.float32)
     e /= np.linalg.norm(e, axis=1)[:, None]
-    many = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(e)), "embedding": list(e)}), "vec_id long, embedding array<float>")
+    many = spark.createDataFrame(pa.table({"vec_id": np.arange(len(e)), "embedding": pa.array(list(e), pa.list_(pa.float32()))}))
     share, _ = recall(e.astype(float), list(range(len(e))), forest.search(many, F.col("vec_id") % 1000 == 0).collect())
     assert share >= 0.9
 
