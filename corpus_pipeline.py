@@ -3,7 +3,13 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept,
 and returns the columns of ``documents``; the last returns the pieces of packed
 sequences. ``run`` writes each stage's rows to the shared scratch folder and
-reads them back, as a driver of the stages would.
+reads them back, as a driver of the stages would, and drops its input.
+
+Defined cases: a null or empty text is of no quality and goes with the first
+stage; rows that share a doc_id are judged each by its own text, until the join
+keeps one of them; of near-duplicates the smallest doc_id stays; ties go as the
+operators say; an empty table passes every stage as one; columns but those of
+``documents`` are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,14 +21,12 @@ from annalist.llm import language, packing, quality, secrets, shingles
 from annalist.llm.common import discard, materialise, release
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Documents score from 0 to 1; only those that most neighbours vote against go.
-KEEP_FROM = 0.5
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose nearest labelled neighbours call them good."""
+    """Documents that the classifier accepts, by its own decision."""
     docs = docs.select(*COLUMNS)
-    return quality.keep_good(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), KEEP_FROM)
+    return quality.keep_good(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
