@@ -26,7 +26,7 @@ def main(argv: list[str] | None = None) -> int:
     a = p.parse_args(argv)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     e = Engine(spark, a.root)
-    rows = lambda df: [r.asDict(recursive=True) for r in df.limit(1000).collect()]
+    rows = lambda df: [r.asDict(recursive=True) for r in df.toLocalIterator()]
     out = {
         "status": lambda: e.status(), "doctor": lambda: e.doctor(), "run": lambda: e.run(), "review": lambda: e.review(), "summarise": lambda: e.summarise(), "stop": lambda: e.stop(),
         "ingest": lambda: e.ingest(a.path), "import": lambda: e.import_database(a.path), "export": lambda: e.export(a.path), "search": lambda: rows(e.search(a.query)),

@@ -99,7 +99,7 @@ class Engine:
         turns = ingest.read_turns(read("message"), read("part")).join(chosen.select(F.col("id").alias("session")), "session", "left_semi").withColumn("session", prefix)
         order = F.struct("time_created", "message_id", "key", "role", "text", "ts")
         new = turns.groupBy("session").agg(F.array_sort(F.collect_list(order)).alias("turns")).withColumn("keys", F.transform("turns", lambda t: t["key"]))
-        stored = self.store.read("meta").where(F.col("key").startswith("opencode_import_keys:")).select(F.substring("key", 22, 10_000).alias("session"), F.from_json("value", "array<string>").alias("keys"))
+        stored = self.store.read("meta").where(F.col("key").startswith("opencode_import_keys:")).select(F.expr("substring(key, 22)").alias("session"), F.from_json("value", "array<string>").alias("keys"))
         counts = self.store.read("raw").groupBy("session").agg(F.count("*").alias("n"))
         acts = ingest.reconcile(stored, counts, new.select("session", "keys"))
         done = {r["action"]: r["count"] for r in acts.groupBy("action").count().collect()}
@@ -203,15 +203,17 @@ class Engine:
         self.store.update(lambda s: {"staged": s.read("staged").where(F.col("id") > through)})
         return self.store.read("observations").count() - before
 
-    def run(self, since: str = "", until: str = "", passes: int = 10) -> dict[str, int]:
-        """Drain what is pending, pass after pass while a pass sets marks and no stop
-        was asked for; then review, if due, and write profiles."""
+    def run(self, since: str = "", until: str = "") -> dict[str, int]:
+        """Drain what is pending, of sessions whose last turn is within the range, pass
+        after pass while a pass sets marks and no stop was asked for; then review, if due."""
+        now = datetime.fromisoformat(self.clock().replace("Z", "+00:00"))
+        between = [x.strftime("%Y-%m-%dT%H:%M:%S.%fZ") if x else None for x in settings.time_range(since, until, now)]
         done = {"staged": self.promote_staged(), "mined": 0, "windows": 0}
-        for _ in range(passes):
+        while True:
             if self.store.get("worker_stop_requested") == "1":
                 self.store.set({"worker_stop_requested": "0"})
                 break
-            n = distill.drain(self.store, self.lenses(), self.model, self.clock(), self.settings().chunk_max_chars)
+            n = distill.drain(self.store, self.lenses(), self.model, self.clock(), self.settings().chunk_max_chars, *between)
             done["mined"] += n
             if not n:
                 break

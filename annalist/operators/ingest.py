@@ -97,10 +97,19 @@ def capture(events: DataFrame, now: str) -> DataFrame:
     """Raw rows out of hook events (session_id, prompt, last_assistant_message,
     effort level): a prompt is a user turn, else an assistant message an assistant
     turn; events without session or both texts are dropped."""
-    has = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
-    rows = events.where(has("session_id") & (has("prompt") | has("last_assistant_message")))
+    has = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    rows = events.where((F.trim(F.coalesce("session_id", F.lit(""))) != "") & (has("prompt") | has("last_assistant_message")))
     user = has("prompt")
     return rows.select(
         F.col("session_id").alias("session"), F.when(user, "user").otherwise("assistant").alias("role"), F.when(user, F.col("prompt")).otherwise(F.col("last_assistant_message")).alias("text"),
         F.when(user, "").otherwise(F.coalesce("effort", F.lit(""))).alias("effort"), F.lit(now).alias("ts"),
     )
+
+
+def in_sequence(rows: DataFrame, raw: DataFrame) -> DataFrame:
+    """Captured rows with the seq that each takes after the turns that its session
+    has, in arrival order."""
+    nth = F.row_number().over(Window.partitionBy("session").orderBy("_at"))
+    have = raw.groupBy("session").agg(F.count("*").alias("_have"))
+    told = rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("_nth", nth).join(have, "session", "left")
+    return told.withColumn("seq", (F.coalesce("_have", F.lit(0)) + F.col("_nth") - 1).cast("int")).drop("_at", "_nth", "_have")

@@ -16,14 +16,14 @@ from ..store import SCHEMAS, Store
 Model = models.Model
 
 
-def drain(store: Store, lenses: Sequence[str], model: Callable[[str], Model], now: str, chunk_chars: int = 0) -> int:
+def drain(store: Store, lenses: Sequence[str], model: Callable[[str], Model], now: str, chunk_chars: int = 0, since: str | None = None, until: str | None = None) -> int:
     """Mine what is pending for each lens; the number of (session, lens) marks set.
     Chunks are mined in the tasks; a session whose chunk failed or was truncated
     keeps its watermark and gets a retry later; every drifted one is stamped and counted."""
     done = 0
     for lens in lenses:
         raw, progress = store.read("raw"), store.read("progress")
-        ready = queue.pending_sessions(raw, store.read("staged"), progress, [lens], now)
+        ready = queue.pending_sessions(raw, store.read("staged"), progress, [lens], now, since, until)
         tail = queue.lens_tail(raw, progress, [lens]).join(ready, "session", "left_semi")
         mined = materialise(models.mine(text.chunks(tail, chunk_chars), model(lens), lens), "mined")
         outcome = models.session_outcomes(mined)
@@ -32,15 +32,19 @@ def drain(store: Store, lenses: Sequence[str], model: Callable[[str], Model], no
         marks = good.join(totals, "session").select("session", F.lit(lens).alias("lens"), F.col("n").cast("int").alias("distilled"), F.col("max_id").alias("raw_high_id"), "drifted")
         rows = mined.where("observation is not null").join(good, "session", "left_semi").join(totals.select("session", F.col("last_ts").alias("ts")), "session")
         rows = rows.select("obs_id", "ts", "session", "lens", "dimension", "observation", "evidence", F.col("poignancy").cast("int").alias("poignancy"), F.lit("mined").alias("source"), F.col("embedding").cast("array<float>").alias("embedding"))
-        n = marks.count()
-        if n and store.commit_distillation(rows, marks, now):
-            done += n
+        done += store.commit_distillation(rows, marks, now)
         failed = outcome.where("failed").select("session", F.lit(lens).alias("lens"))
         if not failed.isEmpty():
             store.update(lambda s, failed=failed: {"progress": queue.retries_after_failure(s.read("progress"), failed, now)})
     return done
 
 
+def _cited(item: dict) -> list[str]:
+    """All ids that an assertion gives as evidence, or one that is none."""
+    ids = item.get("because_of") or []
+    return [str(i) for i in (ids if isinstance(ids, list) else [ids])] or [""]
+
+
 def review(store: Store, lens: str, model: Model, now: str, window_bytes: int = 16_000) -> int:
     """Fold the observations past the lens's cursor, window after window: each
     window is bounded by ``window_bytes``, sees the facets that the one before left,
@@ -64,7 +68,10 @@ def review(store: Store, lens: str, model: Model, now: str, window_bytes: int =
         status, items = parse_array(model((page["text"] if page else "") + "\n" + json.dumps([r.asDict() for r in batch])))
         if status in ("truncated", "none"):
             raise ValueError(f"reply of lens {lens}: {status}")
-        rows = [(lens, str(x.get("dimension") or ""), str(x.get("key") or ""), str(x.get("value") or ""), float(x.get("confidence") or 0), str((x.get("because_of") or [""])[0]), k, bool(x.get("contradicts_prior"))) for k, x in enumerate(items)]
+        rows = [
+            (lens, str(x.get("dimension") or ""), str(x.get("key") or ""), str(x.get("value") or ""), float(x.get("confidence") or 0), obs_id, k << 20 | i, bool(x.get("contradicts_prior")))
+            for k, x in enumerate(items) for i, obs_id in enumerate(_cited(x))
+        ]
         asserts = store.spark.createDataFrame(rows, "lens string, dimension string, key string, value string, confidence double, obs_id string, ord long, contradicts boolean")
         folded = history.apply_assertions(versions, asserts, now).select(*(f.name for f in store.read("facet_versions").schema.fields))
         meta = store.spark.createDataFrame([(f"review_rowid:{lens}", str(batch[-1]["seq"])), ("review_ts", now)], SCHEMAS["meta"])
@@ -108,13 +115,31 @@ def summarise(store: Store, model: Model, prompt: str = "", model_name: str = ""
     pages = text.summary_input(now).withColumn("signature", summary_signature(F.lit(model_name), F.lit(prompt), F.col("text")))
     old = store.read("profiles").select("lens", F.col("signature").alias("before"))
     dirty = pages.join(old, "lens", "left").where(~F.col("signature").eqNullSafe(F.col("before"))).orderBy("lens").collect()
+    written = []
     for r in dirty:
-        store.write_profile(r["lens"], model(r["text"]), r["signature"])
+        # A lens whose model fails keeps the profile that it has; the others go on.
+        try:
+            store.write_profile(r["lens"], model(r["text"]), r["signature"])
+            written.append(r["lens"])
+        except Exception as e:  # whatever a model raises
+            store.set({f"profile_error:{r['lens']}": str(e)})
     there = pages.select("lens")
     gone = store.read("profiles").where("lens <> 'unified'").join(there, "lens", "left_anti")
     if not gone.isEmpty():
         store.update(lambda s: {"profiles": s.read("profiles").join(gone.select("lens"), "lens", "left_anti")})
-    return [r["lens"] for r in dirty]
+    # The unified profile follows the pages of all lenses.
+    whole = "\n".join(r["text"] for r in pages.select("lens", "text").orderBy("lens").collect())
+    if not whole:
+        store.delete_profile("unified")
+        return written
+    told = store.spark.createDataFrame([(whole,)], "text string").select(summary_signature(F.lit(model_name), F.lit(prompt), F.col("text")).alias("s")).first()["s"]
+    have = store.read("profiles").where("lens = 'unified'").select("signature").first()
+    if have is None or have["signature"] != told:
+        try:
+            store.write_profile("unified", model(whole), told)
+        except Exception as e:
+            store.set({"profile_error:unified": str(e)})
+    return written
 
 
 __all__ = ["drain", "emerge", "review", "summarise"]

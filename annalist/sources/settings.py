@@ -83,10 +83,10 @@ def load_lens(folder: str | Path) -> Lens:
 
 def time_bound(text: str, now: datetime, end: bool = False) -> datetime:
     """A bound of a time range: RFC 3339, a UTC date (the end of it for an upper
-    bound), or an age such as 7d, 2w, 36h."""
-    if m := re.fullmatch(r"(\d+)([dwhms])", text):
-        unit = {"d": "days", "w": "weeks", "h": "hours", "m": "minutes", "s": "seconds"}[m[2]]
-        return now - timedelta(**{unit: int(m[1])})
+    bound), or an age such as 7d, 2w, 1h30m."""
+    if re.fullmatch(r"(?:\d+(?:\.\d+)?[dwhms])+", text):
+        unit = {"d": "days", "w": "weeks", "h": "hours", "m": "minutes", "s": "seconds"}
+        return now - sum((timedelta(**{unit[u]: float(n)}) for n, u in re.findall(r"([\d.]+)([dwhms])", text)), timedelta())
     if re.fullmatch(r"\d{4}-\d{2}-\d{2}", text):
         day = datetime.fromisoformat(text).replace(tzinfo=UTC)
         return day + timedelta(days=1, microseconds=-1) if end else day

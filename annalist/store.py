@@ -1,9 +1,12 @@
 """The engine's tables on shared storage, changed by atomic snapshots.
 
 Each table lives in Parquet folders that are written once. A manifest names the
-folder of every table; a commit writes new folders, then swaps the manifest in
-one rename, so that readers see all of a commit or none of it. Several tables
-change in one commit, and a guard can refuse it (compare-and-set on the version).
+folders of every table; a commit writes new folders, then creates the next
+manifest, which only one writer can, so that readers see all of a commit or none
+of it. A commit replaces a table's folders or adds one (:class:`Append`), so that
+what an append writes doesn't follow the table's size; :meth:`Store.compact` and
+:meth:`Store.vacuum` tidy up. Several tables change in one commit, and a guard
+can refuse it (compare-and-set on the version).
 """
 
 from __future__ import annotations
@@ -11,7 +14,9 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +40,16 @@ class Conflict(RuntimeError):
     """Another commit came first."""
 
 
+@dataclass(frozen=True)
+class Append:
+    """Rows that a commit adds to a table."""
+
+    rows: DataFrame
+
+
+Changes = Mapping[str, DataFrame | Append]
+
+
 class Store:
     """Tables under one folder; see the module's text."""
 
@@ -46,54 +61,89 @@ class Store:
 
     # -- manifest ---------------------------------------------------------
     def manifest(self) -> dict:
-        """{"version": n, "tables": {name: folder}} of the newest commit."""
+        """{"version": n, "tables": {name: [folder]}} of the newest commit. A manifest
+        that isn't written to its end is none yet."""
         folder = self._path(f"{self.root}/_manifests")
         if not self._fs.exists(folder):
             return {"version": 0, "tables": {}}
         names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
         versions = sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
-        if not versions:
-            return {"version": 0, "tables": {}}
-        rows = self.spark.read.text(f"{self.root}/_manifests/{versions[-1]:012d}.json", wholetext=True).collect()
-        return json.loads(rows[0]["value"])
+        for v in reversed(versions):
+            rows = self.spark.read.text(f"{self.root}/_manifests/{v:012d}.json", wholetext=True).collect()
+            try:
+                return json.loads(rows[0]["value"] if rows else "")
+            except ValueError:
+                continue
+        return {"version": 0, "tables": {}}
 
-    def commit(self, changes: Mapping[str, DataFrame], expected: int | None = None) -> int:
+    def commit(self, changes: Changes, expected: int | None = None) -> int:
         """Write the tables and publish them together; the new version. Fails if
         ``expected`` isn't the version now, or another commit takes the next one."""
         now = self.manifest()
         if expected is not None and now["version"] != expected:
             raise Conflict(f"version is {now['version']}, not {expected}")
         folders = dict(now["tables"])
-        for name, df in changes.items():
+        for name, change in changes.items():
             schema = T._parse_datatype_string(SCHEMAS[name])
-            folders[name] = f"{name}/{uuid.uuid4().hex}"
-            df.select(*(F.col(f"`{f.name}`").cast(f.dataType) for f in schema.fields)).write.mode("error").parquet(f"{self.root}/{folders[name]}")
+            folder, more = f"{name}/{uuid.uuid4().hex}", isinstance(change, Append)
+            df = change.rows if more else change
+            df.select(*(F.col(f"`{f.name}`").cast(f.dataType) for f in schema.fields)).write.mode("error").parquet(f"{self.root}/{folder}")
+            folders[name] = [*folders.get(name, []), folder] if more else [folder]
         version = now["version"] + 1
         self._publish(f"{self.root}/_manifests/{version:012d}.json", json.dumps({"version": version, "tables": folders}))
         return version
 
     def _publish(self, target: str, text: str) -> None:
-        """Write beside, then rename; a rename onto another commit's file fails."""
-        beside = self._path(f"{target}.{uuid.uuid4().hex}.tmp")
-        out = self._fs.create(beside, False)
+        """Create the file, which fails if another commit has."""
+        try:
+            out = self._fs.create(self._path(target), False)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in e.java_exception.getClass().getName():
+                raise Conflict("another commit came first") from None
+            raise
         out.write(bytearray(text.encode()))
         out.close()
-        if self._fs.exists(self._path(target)) or not self._fs.rename(beside, self._path(target)):
-            self._fs.delete(beside, False)
-            raise Conflict("another commit came first")
 
-    def read(self, name: str) -> DataFrame:
-        folder = self.manifest()["tables"].get(name)
+    def read(self, name: str, manifest: dict | None = None) -> DataFrame:
+        """A table as it is, or as a manifest has it."""
+        folders = (manifest or self.manifest())["tables"].get(name)
         schema = T._parse_datatype_string(SCHEMAS[name])
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{folder}") if folder else self.spark.createDataFrame([], schema)
-
-    def update(self, change: Callable[[Store], Mapping[str, DataFrame]], attempts: int = 5) -> int:
+        return self.spark.read.schema(schema).parquet(*(f"{self.root}/{x}" for x in folders)) if folders else self.spark.createDataFrame([], schema)
+
+    def compact(self, *names: str) -> int:
+        """Rewrite tables of several folders as one each."""
+        return self.update(lambda s: {n: s.read(n) for n in names or SCHEMAS if len(s.manifest()["tables"].get(n, [])) > 1})
+
+    def vacuum(self, keep: int = 10) -> int:
+        """Delete the folders that none of the newest ``keep`` manifests names, and
+        older manifests; the number of folders. Not while a commit is being written."""
+        top = self.manifest()["version"]
+        used, folder = set(), self._path(f"{self.root}/_manifests")
+        for path in [s.getPath() for s in self._fs.listStatus(folder)]:
+            version = path.getName()[:-5]
+            if not version.isdigit():
+                continue
+            if int(version) <= top - keep:
+                self._fs.delete(path, False)
+            elif text := self.spark.read.text(f"{self.root}/_manifests/{path.getName()}", wholetext=True).collect():
+                used |= {x for folders in json.loads(text[0]["value"])["tables"].values() for x in folders}
+        gone = 0
+        for name in SCHEMAS:
+            if self._fs.exists(self._path(f"{self.root}/{name}")):
+                for s in self._fs.listStatus(self._path(f"{self.root}/{name}")):
+                    if f"{name}/{s.getPath().getName()}" not in used:
+                        self._fs.delete(s.getPath(), True)
+                        gone += 1
+        return gone
+
+    def update(self, change: Callable[[Store], Changes], attempts: int = 5) -> int:
         """Compute changes from the tables as they are and commit them; again if
         another commit came between."""
         for left in range(attempts, 0, -1):
             version = self.manifest()["version"]
             try:
-                return self.commit(change(self), version)
+                changes = change(self)
+                return self.commit(changes, version) if changes else version
             except Conflict:
                 if left == 1:
                     raise
@@ -105,7 +155,7 @@ class Store:
 
     def append_raw(self, rows: DataFrame) -> int:
         """Append (session, ts, role, effort, text, seq); ids go on from the last."""
-        return self.update(lambda s: {"raw": s.read("raw").unionByName(s._numbered(rows, s.next_id()))})
+        return self.update(lambda s: {"raw": Append(s._numbered(rows, s.next_id()))})
 
     @staticmethod
     def _numbered(rows: DataFrame, first: int) -> DataFrame:
@@ -123,13 +173,14 @@ class Store:
             if replace:
                 gone = rows.select("session").distinct()
                 raw, progress = raw.join(gone, "session", "left_anti"), progress.join(gone, "session", "left_anti")
-            return {"raw": raw.unionByName(s._numbered(rows, s.next_id())), "progress": progress, "session_meta": tables.upsert(s.read("session_meta"), meta, "session"), "meta": tables.upsert(s.read("meta"), keys, "key")}
+            new = s._numbered(rows, s.next_id())
+            return {"raw": raw.unionByName(new) if replace else Append(new), **({"progress": progress} if replace else {}), "session_meta": tables.upsert(s.read("session_meta"), meta, "session"), "meta": tables.upsert(s.read("meta"), keys, "key")}
 
         return self.update(change)
 
     def record_meta(self, meta: DataFrame) -> int:
         """Insert sessions that aren't known; known ones stay."""
-        return self.update(lambda s: {"session_meta": s.read("session_meta").unionByName(meta.join(s.read("session_meta"), "session", "left_anti"))})
+        return self.update(lambda s: {"session_meta": Append(meta.dropDuplicates(["session"]).join(s.read("session_meta"), "session", "left_anti"))})
 
     def set_platform(self, session: str, platform: str) -> int:
         def change(s: Store) -> dict[str, DataFrame]:
@@ -156,12 +207,12 @@ class Store:
             old = s.read("observations")
             first = s.next_id("observations", "seq")
             fresh = tables.insert_or_ignore(old, new.withColumn("seq", F.monotonically_increasing_id()))
-            return {"observations": old.unionByName(fresh.withColumn("seq", F.monotonically_increasing_id() + first))}
+            return {"observations": Append(fresh.withColumn("seq", F.monotonically_increasing_id() + first))}
 
         return self.update(change)
 
     def stage(self, new: DataFrame, per_session: int = 200, total: int = 5000) -> int:
-        return self.update(lambda s: {"staged": s.read("staged").unionByName(tables.stage_capped(s.read("staged"), new, per_session, total))})
+        return self.update(lambda s: {"staged": Append(tables.stage_capped(s.read("staged"), new, per_session, total))})
 
     def clear_staged(self, session: str, through: int) -> int:
         return self.update(lambda s: {"staged": s.read("staged").where((F.col("session") != session) | (F.col("id") > through))})
@@ -174,25 +225,29 @@ class Store:
         self.update(lambda s: {"observations": s.read("observations").where(F.col("obs_id") != obs_id), "meta": s.read("meta").where(F.col("key") != f"review_rowid:{found['lens']}")})
         return True
 
-    def commit_distillation(self, mined: DataFrame, marks: DataFrame, now: str) -> bool:
-        """Observations, watermarks and the count of drifted marks together, or none:
-        every mark's generation must still be there."""
-        raw = self.read("raw")
-        alive = queue.commit_watermarks(self.spark.createDataFrame([], SCHEMAS["progress"]), raw, marks, now)
-        if alive.count() != marks.count():
-            return False
-        drift = alive.where("drift_at <> ''").agg(F.count("*").alias("n"), F.max(F.struct("session", "lens")).alias("last")).first()
-
-        def change(s: Store) -> dict[str, DataFrame]:
-            old, first = s.read("observations"), s.next_id("observations", "seq")
-            fresh = tables.insert_or_ignore(old, mined.withColumn("seq", F.monotonically_increasing_id())).withColumn("seq", F.monotonically_increasing_id() + first)
-            changes = {"observations": old.unionByName(fresh), "progress": queue.commit_watermarks(s.read("progress"), s.read("raw"), marks, now)}
+    def commit_distillation(self, mined: DataFrame, marks: DataFrame, now: str) -> int:
+        """Observations, watermarks and the count of drifted marks together. A mark
+        whose generation is gone is refused with all that was mined of its session,
+        at the time of the commit itself. The number of marks set."""
+        done = 0
+
+        def change(s: Store) -> Changes:
+            nonlocal done
+            raw, old = s.read("raw"), s.read("observations")
+            won = queue.commit_watermarks(s.spark.createDataFrame([], SCHEMAS["progress"]), raw, marks, now)
+            drift = won.agg(F.count("*").alias("marks"), F.count(F.when(F.col("drift_at") != "", 1)).alias("n"), F.max(F.when(F.col("drift_at") != "", F.struct("session", "lens"))).alias("last")).first()
+            done = drift["marks"]
+            if not done:
+                return {}
+            own = mined.join(won.select("session", "lens"), ["session", "lens"], "left_semi")
+            fresh = tables.insert_or_ignore(old, own.withColumn("seq", F.monotonically_increasing_id())).withColumn("seq", F.monotonically_increasing_id() + s.next_id("observations", "seq"))
+            changes: dict[str, DataFrame | Append] = {"observations": Append(fresh), "progress": queue.commit_watermarks(s.read("progress"), raw, marks, now)}
             if drift["n"]:
                 changes["meta"] = s._drift_counted(drift["n"], *drift["last"], now)
             return changes
 
         self.update(change)
-        return True
+        return done
 
     def reset_lens(self, lens: str) -> int:
         return self.update(lambda s: {"progress": s.read("progress").where(F.col("lens") != lens), "meta": s.read("meta").where(F.col("key") != f"review_rowid:{lens}")})
@@ -209,6 +264,18 @@ class Store:
         new = self.spark.createDataFrame(list(values.items()), SCHEMAS["meta"])
         return self.update(lambda s: {"meta": tables.upsert(s.read("meta"), new, "key")})
 
+    def increment(self, key: str, by: int = 1) -> int:
+        """Add to a counter in one commit; its new value."""
+        now = 0
+
+        def change(s: Store) -> Changes:
+            nonlocal now
+            now = int(s.get(key, "0") or 0) + by
+            return {"meta": tables.upsert(s.read("meta"), s.spark.createDataFrame([(key, str(now))], SCHEMAS["meta"]), "key")}
+
+        self.update(change)
+        return now
+
     def _drift_counted(self, n: int, session: str, lens: str, now: str) -> DataFrame:
         """The meta table with ``n`` more drifts, the last of them that of ``session``."""
         total = int(self.get("mine_drift_total", "0") or 0) + n
@@ -219,13 +286,16 @@ class Store:
         new = self.spark.createDataFrame([(lens, markdown, signature)], SCHEMAS["profiles"])
         return self.update(lambda s: {"profiles": tables.upsert(s.read("profiles"), new, "lens")})
 
+    def delete_profile(self, lens: str) -> int:
+        return self.update(lambda s: {"profiles": s.read("profiles").where(F.col("lens") != lens)})
+
     def export(self, target: str, force: bool = False) -> None:
-        """All tables as they are, one file each, under one folder."""
-        where = self._path(target)
+        """All tables as one commit left them, a folder each, under one folder."""
+        where, manifest = self._path(target), self.manifest()
         if self._fs.exists(where) and not force:
             raise FileExistsError(target)
         for name in SCHEMAS:
-            self.read(name).coalesce(1).write.mode("overwrite").parquet(f"{target}/{name}")
+            self.read(name, manifest).write.mode("overwrite").parquet(f"{target}/{name}")
 
     # -- merges -------------------------------------------------------------
     def ingest_lines(self, lines: DataFrame, now: str) -> dict[str, int]:
@@ -235,7 +305,7 @@ class Store:
         told = ingest.group_records(parsed.where("ok").drop("ok"), "line_no", now).withColumnRenamed("line_no", "ord")
         raw = self.read("raw")
         keys = self.read("meta").where(F.col("key").startswith("file_import_keys:"))
-        stored = keys.select(F.substring("key", 18, 10_000).alias("session"), F.posexplode(F.from_json("value", "array<string>")).alias("pos", "record_key"))
+        stored = keys.select(F.expr("substring(key, 18)").alias("session"), F.posexplode(F.from_json("value", "array<string>")).alias("pos", "record_key"))
         rid = F.regexp_extract("record_key", r"(?s)^(.+):[^:]*$", 1)
         nth = raw.select("session", "id", "text", "ts", "role").withColumn("pos", F.expr("row_number() over (partition by session order by id) - 1"))
         stored = stored.join(nth, ["session", "pos"]).select("session", "pos", "record_key", F.when(rid == "h", "").otherwise(rid).alias("record_id"), "text", "ts", "role")

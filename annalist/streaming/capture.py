@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.ingest import capture
-from ..store import Store
+from ..operators.ingest import capture, in_sequence
+from ..store import Append, Store
 
 EVENT = "session_id string, prompt string, last_assistant_message string, effort struct<level:string>, cwd string"
 
@@ -20,18 +20,19 @@ def hook_events(spark: SparkSession, folder: str) -> DataFrame:
 
 def append_events(events: DataFrame, store: Store, checkpoint: str, now: str) -> StreamingQuery:
     """Append each micro-batch once: its number is kept with the rows' commit, so a
-    batch that is replayed after a failure changes nothing."""
+    batch that is replayed after a failure changes nothing. Turns go on from the
+    last one of their session, in the order of the batch."""
 
     def write(batch: DataFrame, number: int) -> None:
         if int(store.get("capture_batch", "-1")) >= number:
             return
-        rows = capture(batch, now).withColumn("seq", F.lit(0))
+        rows = capture(batch, now)
         done = store.spark.createDataFrame([("capture_batch", str(number))], "key string, value string")
 
         def change(s: Store) -> dict[str, DataFrame]:
             from ..operators.tables import upsert
 
-            return {"raw": s.read("raw").unionByName(s._numbered(rows, s.next_id())), "meta": upsert(s.read("meta"), done, "key")}
+            return {"raw": Append(s._numbered(in_sequence(rows, s.read("raw")), s.next_id())), "meta": upsert(s.read("meta"), done, "key")}
 
         store.update(change)
 

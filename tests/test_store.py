@@ -1,5 +1,6 @@
 import json
 import sqlite3
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -54,6 +55,7 @@ def test_capture_stream_appends_each_batch_once(spark, store, tmp_path):
         append_events(hook_events(spark, str(folder)), store, f"{tmp_path}/cp", NOW).awaitTermination()
     rows = {(r["role"], r["text"], r["effort"]) for r in store.read("raw").collect()}
     assert rows == {("user", "hi", ""), ("assistant", "yes", "high")} and store.read("raw").count() == 2
+    assert sorted(r["seq"] for r in store.read("raw").collect()) == [0, 1]
     assert "effort" in EVENT
 
 
@@ -101,6 +103,45 @@ def test_a_gone_generation_refuses_the_commit(spark, store):
     assert not store.commit_distillation(store.read("observations").drop("seq"), marks, NOW)
 
 
+def test_what_is_mined_goes_with_its_mark(spark, store):
+    turns = "session string, seq int, ts string, role string, effort string, text string"
+    store.append_raw(spark.createDataFrame([(x, 0, NOW, "user", "", "t") for x in ("a", "b")], turns))
+    high = {r["session"]: r["id"] for r in store.read("raw").collect()}
+    marks = spark.createDataFrame([("a", "default", 1, high["a"]), ("b", "default", 1, high["b"])], "session string, lens string, distilled int, raw_high_id long")
+    mined = spark.createDataFrame([(f"o{x}", NOW, x, "default", "d", "o", "", 1, "mined", None) for x in "ab"], "obs_id string, ts string, session string, lens string, dimension string, observation string, evidence string, poignancy int, source string, embedding array<float>")
+    store.commit({"raw": store.read("raw").where("session = 'a'")})
+    assert store.commit_distillation(mined, marks, NOW) == 1
+    assert [r["obs_id"] for r in store.read("observations").collect()] == ["oa"]
+    assert [r["session"] for r in store.read("progress").collect()] == ["a"]
+
+
+def test_appends_add_folders(spark, store):
+    turns = "session string, seq int, ts string, role string, effort string, text string"
+    size = lambda folder: sum(p.stat().st_size for p in (Path(store.root.removeprefix("file://")) / folder).glob("*.parquet"))
+    store.append_raw(spark.createDataFrame([("a", k, NOW, "user", "", f"{k} text " * 50) for k in range(3000)], turns))
+    for k in range(2):
+        store.append_raw(spark.createDataFrame([("b", k, NOW, "user", "", "t")], turns))
+    first, *rest = store.manifest()["tables"]["raw"]
+    assert len(rest) == 2 and all(size(x) < size(first) / 5 for x in rest)
+    before = sorted(map(tuple, store.read("raw").collect()))
+    store.compact()
+    assert len(store.manifest()["tables"]["raw"]) == 1 and sorted(map(tuple, store.read("raw").collect())) == before
+    assert store.vacuum(keep=1) == 3 and store.read("raw").count() == 3002
+
+
+def test_a_failing_profile_leaves_the_others(spark, store):
+    facets = [(lens, "d", "k", NOW, 0, "v", NOW, "", NOW, [], 0.5) for lens in ("a", "b")]
+    store.commit({"facet_versions": spark.createDataFrame(facets, SCHEMAS["facet_versions"])})
+
+    def model(page):
+        if page.startswith("LENS: a") and "LENS: b" not in page:
+            raise RuntimeError("down")
+        return page[:7]
+
+    assert distill.summarise(store, model) == ["b"]
+    assert {r["lens"] for r in store.read("profiles").collect()} == {"b", "unified"} and store.get("profile_error:a") == "down"
+
+
 def test_the_judge_reads_every_member(spark, store, monkeypatch):
     n, told = 230, []
     ids = [f"o{k:03}" for k in range(n)]
