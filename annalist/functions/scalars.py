@@ -144,6 +144,14 @@ def fenced(text: Column, token: str = "corpus:untrusted") -> Column:
     return F.concat(F.lit(f"<<<{token}\n"), inner, F.lit(f"\n{token}>>>"))
 
 
+def preview(text: Column, limit: int = 88) -> Column:
+    """The trimmed text, or its first ``limit`` - 1 bytes and an ellipsis; a character
+    cut in two becomes U+FFFD."""
+    t = F.trim(text)
+    cut = F.make_valid_utf8(F.substring(F.encode(t, "UTF-8"), 1, limit - 1).cast("string"))
+    return F.when(F.octet_length(t) <= limit, t).otherwise(F.concat(cut, F.lit("…")))
+
+
 def k_band(n: int) -> list[int]:
     """Neighbour counts over which a pattern must persist."""
     if n < 3:

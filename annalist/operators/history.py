@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import clamp01, merged_ids
 
@@ -95,15 +99,21 @@ def nested_facets(versions: DataFrame) -> DataFrame:
 def size_windows(rows: DataFrame, key: str, order: str, size: Column, budget: int) -> DataFrame:
     """Greedy windows over ordered rows: a row that would overflow the budget
     starts the next one; each holds one row at least. Adds ``window``. The sum
-    resets, which no frame can say: sizes alone are folded, per key."""
-    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), size.cast("long").alias("n")))).alias("sizes"))
-    zero = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("window"), F.array().cast("array<struct<o:bigint,w:int>>").alias("out"))
-
-    def step(state: Column, x: Column) -> Column:
-        cut = (state["sum"] > 0) & (state["sum"] + x["n"] > budget)
-        window = F.when(cut, state["window"] + 1).otherwise(state["window"])
-        total = F.when(cut, x["n"]).otherwise(state["sum"] + x["n"])
-        return F.struct(total.alias("sum"), window.alias("window"), F.concat(state["out"], F.array(F.struct(x["o"].cast("long").alias("o"), window.alias("w")))).alias("out"))
-
-    flat = listed.select(key, F.explode(F.aggregate("sizes", zero, step)["out"]).alias("x")).select(key, F.col("x.o").alias(order), F.col("x.w").alias("window"))
-    return rows.join(flat, [key, order])
+    resets, which no frame can say: sorted rows stream by with a running sum."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total, window = object(), 0, 0
+        for b in batches:
+            out = []
+            for k, n in zip(b.column(key).to_pylist(), b.column("_size").to_pylist(), strict=True):
+                if k != now:
+                    now, total, window = k, 0, 0
+                if total > 0 and total + n > budget:
+                    total, window = 0, window + 1
+                total += n
+                out.append(window)
+            names = [c for c in b.schema.names if c != "_size"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(out, pa.int32())], names=[*names, "window"])
+
+    told = rows.withColumn("_size", F.coalesce(size.cast("long"), F.lit(0).cast("long"))).repartition(key).sortWithinPartitions(key, order)
+    return told.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("window", T.IntegerType())]))

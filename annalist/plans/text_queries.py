@@ -227,14 +227,14 @@ def merged_ids(spark, d):
     return rows.select("conv_id", F.array_join(X.merged_ids(F.slice("r", 1, 1), F.concat(F.array(F.lit("")), F.col("r"))), ",").alias("ids"))
 
 
-@query("R1_platforms", "select id, case when id % 3 = 0 then 'opencode' when id % 3 = 1 then 'file' else 'claude' end as platform from raw_v")
+@query("S1_3_platforms", "select id, case when id % 3 = 0 then 'opencode' when id % 3 = 1 then 'file' else 'claude' end as platform from raw_v")
 def platforms(spark, d):
     kind = F.col("id") % 3
     session = F.when(kind == 0, F.concat(F.lit("opencode:"), "session")).when(kind == 1, F.concat(F.lit("file:"), "session")).otherwise(F.col("session"))
     return raw_v(spark, d).select("id", X.platform_of(session, F.when(F.col("id") % 2 == 0, "unknown")).alias("platform"))
 
 
-@query("X8_valid_text")
+@query("X8_valid_text", "select doc_id, text from documents", views=False)
 def valid_text(spark, d):
     from ..operators.models import sanitised
 
@@ -248,14 +248,23 @@ def mined(spark, d):
     return mine(text.chunks(raw_v(spark, d), 0), echo_miner, "default")
 
 
-@query("O9_previews", "select session, string_agg(substr(text, 1, 5), '|' order by id) as preview from (select *, row_number() over (partition by session order by id) as nth from raw_v) q where nth <= 5 group by session")
+#: At 87 bytes; of a character that they cut in two, a replacement is left.
+_CUT = "case when strlen(t) <= 88 then t else substr(t, 1, k) || case when strlen(substr(t, 1, k)) < 87 then chr(65533) else '' end || '…' end"
+
+
+@query(
+    "O9_previews",
+    f"""first as (select dimension, seq, trim(observation) as t, row_number() over (partition by dimension order by seq) as nth from obs_v),
+cut as (select *, list_max(list_filter(range(0, 88), lambda x: strlen(substr(t, 1, x)) <= 87)) as k from first where nth <= 5)
+select dimension, string_agg({_CUT}, chr(10) order by seq) as preview from cut group by dimension""",
+)
 def previews(spark, d):
-    first = raw_v(spark, d).withColumn("nth", F.row_number().over(Window.partitionBy("session").orderBy("id"))).where("nth <= 5")
-    rows = first.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("id", F.substring("text", 1, 5).alias("t")))).alias("ts"))
-    return rows.select("session", F.array_join(F.transform("ts", lambda x: x["t"]), "|").alias("preview"))
+    first = obs_v(spark, d).withColumn("nth", F.row_number().over(Window.partitionBy("dimension").orderBy("seq"))).where("nth <= 5")
+    rows = first.groupBy("dimension").agg(F.array_sort(F.collect_list(F.struct("seq", X.preview(F.col("observation")).alias("t")))).alias("ts"))
+    return rows.select("dimension", F.array_join(F.transform("ts", lambda x: x["t"]), "\n").alias("preview"))
 
 
-@query("X5_transcript_digests")
+@query("X5_transcript_digests", """select session, sha256('[' || string_agg('{"role":' || cast(to_json(role) as varchar) || ',"text":' || cast(to_json(text) as varchar) || '}', ',' order by id) || ']') as digest from raw_v group by session""")
 def digests(spark, d):
     turns = F.array_sort(F.collect_list(F.struct("id", "role", "text")))
     return raw_v(spark, d).groupBy("session").agg(turns.alias("t")).select("session", X.transcript_digest(F.col("t")).alias("digest"))

@@ -180,9 +180,18 @@ def formed(spark, d):
     return assert_v(spark, d).where(history.well_formed(F.col("dimension"), F.col("key"), F.col("value"))).select("obs_id")
 
 
-@query("W3_size_windows")
+@query(
+    "W3_size_windows",
+    """recursive n as (select lens, seq, strlen(observation) as size, row_number() over (partition by lens order by seq) as nth from obs_v),
+w(lens, nth, seq, size, total, win) as (
+  select lens, nth, seq, size, size, 0 from n where nth = 1
+  union all
+  select n.lens, n.nth, n.seq, n.size, case when w.total > 0 and w.total + n.size > 16000 then n.size else w.total + n.size end, w.win + case when w.total > 0 and w.total + n.size > 16000 then 1 else 0 end
+  from w join n on n.lens = w.lens and n.nth = w.nth + 1)
+select lens, seq, size, win as \"window\" from w""",
+)
 def windows(spark, d):
-    obs = obs_v(spark, d).select("lens", "seq", F.octet_length(F.to_json(F.struct("obs_id", "dimension", "observation", "evidence", "poignancy"))).alias("size"))
+    obs = obs_v(spark, d).select("lens", "seq", F.octet_length("observation").cast("long").alias("size"))
     return history.size_windows(obs, "lens", "seq", F.col("size"), 16_000)
 
 
