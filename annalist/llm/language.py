@@ -12,8 +12,9 @@ all of them; the bound on documents is a parameter and the only one.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0.0;
 ties go to the language first in the alphabet; with no labelled rows everything
-is ``und``; repeated rows each get a result; columns but doc_id and text are not
-read for a prediction.
+is ``und``; repeated rows each get a result; an empty table gives an empty
+result; texts and runs of any length are read whole, in linear time; columns but
+doc_id and text are not read for a prediction, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from .common import Fitted, fit_in_task, held_out
 
 MAX_PER_LANGUAGE = 4000
 LONGEST, SHARPEST = 5, 24
-CACHE_WORDS = 300_000
+CACHE_WORDS = 120_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 

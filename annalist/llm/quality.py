@@ -16,7 +16,9 @@ nothing, has the score 0.0; ties in similarity go to the sampled row with the
 smaller id; repeated labels of a document count once (label 1 if their mean is
 0.5 or more), null labels not at all; with no labels of a class at hand, every
 score is that of the other class, and 0.0 with none at all; repeated rows each
-get a score; columns other than doc_id and text are not read.
+get a score; an empty table gives an empty result; texts of any length are read
+whole, in linear time; columns other than doc_id and text are not read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ MAX_PER_CLASS = 1200
 BUCKETS = 1 << 14
 DIMENSIONS, NEIGHBOURS = 48, 9
 ACCEPT = 0.7
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 120_000
 PIECE = 64
 
 _STRIP = re.compile(r"^\W+|\W+$")

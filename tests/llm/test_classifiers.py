@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from annalist.llm import language, quality
 
@@ -23,7 +24,7 @@ def docs(spark):
 
 def test_languages(spark, docs):
     odd = spark.createDataFrame([(900, None, None), (901, "", "en"), (902, "123 !?", None), (903, "waterhouse greenwalk", None), (903, "waterhouse greenwalk", None), (904, "und " * 100_000, None)], "doc_id long, text string, lang string")
-    got = {r.doc_id: r for r in language.predict(docs.select("doc_id", "text", "lang").unionByName(odd)).collect()}
+    got = {r.doc_id: r for r in language.predict(docs.select("doc_id", "text", "lang").unionByName(odd).withColumns({"score": F.lit(9), "lang_pred": F.lit("x"), "_lang": F.lit("y")})).collect()}
     held = [(got[r.doc_id].lang_pred, r.lang) for r in docs.collect() if got[r.doc_id].held_out]
     assert len(held) > 30 and sum(a == b for a, b in held) == len(held)
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (900, 901, 902))
@@ -60,7 +61,7 @@ def test_quality(spark, docs):
     labels = docs.selectExpr("doc_id", "good as quality", "0 as toxic")
     labels = labels.unionByName(labels.where("doc_id < 10")).unionByName(spark.createDataFrame([(5, None, 0)], "doc_id long, quality int, toxic int"))
     odd = spark.createDataFrame([(900, None), (901, ""), (902, "the of " * 50_000), (903, "AND!! OF!!"), (903, "AND!! OF!!")], "doc_id long, text string")
-    rows = quality.classify(docs.select("doc_id", "text").unionByName(odd), labels).collect()
+    rows = quality.classify(docs.select("doc_id", "text").unionByName(odd).withColumns({"score": F.lit(9), "label": F.lit(1), "_score": F.lit(2)}), labels).collect()
     got = {r.doc_id: r for r in rows}
     assert len(rows) == 245
     held = [(got[r.doc_id].predicted, r.good) for r in docs.collect() if got[r.doc_id].held_out]
@@ -96,3 +97,37 @@ def test_votes_equal_brute_force():
         sims = np.maximum(model.vectors @ x, 0)
         near = np.argsort(-sims, kind="stable")[: quality.NEIGHBOURS]
         assert abs(s - (sims[near] * model.labels[near]).sum() / sims[near].sum()) < 1e-12
+
+
+def test_backoff_scores_equal_brute_force():
+    words = {"a": {"stone": 5, "stove": 2, "tone": 1}, "b": {"stern": 4, "torn": 3}}
+    model = language.train(["b", "a"], [(x, w, n) for x, ws in words.items() for w, n in ws.items()])
+    names = sorted({w for ws in words.values() for w in ws})
+
+    def log(counts, known, lang):
+        return np.log((counts(lang) + 0.5) / (sum(known(lang).values()) + 0.5 * size))
+
+    for text in ("stone torn", "stole", "tornado stove zzz", "x stones STERN"):
+        total = np.zeros(2)
+        tokens = text.lower().split()
+        for w in tokens:
+            if w in names:
+                size = len(names)
+                total += [log(lambda x, w=w: words[x].get(w, 0), lambda x: words[x], x) for x in "ab"]
+                continue
+            for n in range(language.LONGEST, 0, -1):
+                grams = {x: {} for x in "ab"}
+                for x in "ab":
+                    for v, k in words[x].items():
+                        for i in range(len(v) + 3 - n):
+                            g = f"^{v}$"[i : i + n]
+                            grams[x][g] = grams[x].get(g, 0) + np.log1p(k)
+                every = set(grams["a"]) | set(grams["b"])
+                size = len(every)
+                hit = [g for g in (f"^{w}$"[i : i + n] for i in range(len(w) + 3 - n)) if g in every]
+                if hit:
+                    total += np.mean([[log(lambda x, g=g: grams[x].get(g, 0), lambda x: grams[x], x) for x in "ab"] for g in hit], 0)
+                    break
+        p = np.exp(total / len(tokens) * min(len(tokens), language.SHARPEST))
+        got = model.predict([text])
+        assert got[0] == ["ab"[int(np.argmax(p))]] and abs(got[1][0] - p.max() / p.sum()) < 1e-5
