@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import queue_queries, store_queries, text_queries, vector_queries  # noqa: F401  (register their queries)
+from .plans import queue_queries, store_queries, text_queries, vector_queries, worker_queries  # noqa: F401  (register their queries)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

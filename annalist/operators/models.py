@@ -58,6 +58,8 @@ def mine(chunks: DataFrame, model: Model, lens: str, embed: Callable[[str], list
             for session, chunk, text in zip(b["session"], b["chunk"], b["text"], strict=True):
                 try:
                     status, items = parse_array(model(text))
+                except TimeoutError:  # asked, and not served in time
+                    status, items = "starved", []
                 except Exception:  # a failing model call is a failed chunk
                     status, items = "failed", []
                 items = [x for x in items if str(x.get("observation") or "").strip()]
@@ -73,10 +75,10 @@ def mine(chunks: DataFrame, model: Model, lens: str, embed: Callable[[str], list
 
 
 def session_outcomes(mined: DataFrame) -> DataFrame:
-    """session, failed, drifted out of :func:`mine`'s rows."""
-    bad = F.col("status").isin("truncated", "failed")
-    out = mined.groupBy("session").agg(F.max(bad.cast("int")).alias("bad"), F.count("observation").alias("n"), F.max((F.col("status") == "none").cast("int")).alias("none"))
-    return out.select("session", (F.col("bad") == 1).alias("failed"), ((F.col("bad") == 0) & (F.col("n") == 0) & (F.col("none") == 1)).alias("drifted"))
+    """session, failed, drifted, starved out of :func:`mine`'s rows."""
+    bad = F.col("status").isin("truncated", "failed", "starved")
+    out = mined.groupBy("session").agg(F.max(bad.cast("int")).alias("bad"), F.max((F.col("status") == "starved").cast("int")).alias("late"), F.count("observation").alias("n"), F.max((F.col("status") == "none").cast("int")).alias("none"))
+    return out.select("session", (F.col("bad") == 1).alias("failed"), ((F.col("bad") == 0) & (F.col("n") == 0) & (F.col("none") == 1)).alias("drifted"), (F.col("late") == 1).alias("starved"))
 
 
 def _int(x: object) -> int:

@@ -46,6 +46,11 @@ def pending_sessions(raw: DataFrame, staged: DataFrame, progress: DataFrame, len
     return found.select("session")
 
 
+def next_backoff(progress: DataFrame, lenses: Sequence[str], now: str) -> DataFrame:
+    """One row: when the soonest backoff of an active lens ends, null if none runs."""
+    return progress.where(F.col("lens").isin(*lenses) & (parsed_ts(F.col("next_attempt")) > parsed_ts(F.lit(now)))).agg(F.min("next_attempt").alias("next_attempt"))
+
+
 def pending_chars(raw: DataFrame, progress: DataFrame, lenses: Sequence[str]) -> DataFrame:
     """session, chars past the least watermark of the active lenses (0 for a lens
     without progress)."""

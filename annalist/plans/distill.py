@@ -4,38 +4,88 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.replies import parse_array
 from ..functions.scalars import summary_signature
 from ..operators import arcs, history, models, queue, text
+from ..operators.tables import upsert
 from ..scratch import materialise
 from ..store import SCHEMAS, Store
 
 Model = models.Model
 
 
-def drain(store: Store, lenses: Sequence[str], model: Callable[[str], Model], now: str, chunk_chars: int = 0, since: str | None = None, until: str | None = None) -> int:
-    """Mine what is pending for each lens; the number of (session, lens) marks set.
+def pretty(value: object) -> str:
+    """JSON as the models read it; the sizes of windows count its bytes."""
+    return json.dumps(value, indent=2, ensure_ascii=False)
+
+
+@dataclass
+class Pace:
+    """How a run goes on from pass to pass: how many tasks call models at a time
+    (``window``; 0: as many as the cluster runs), the characters that one task
+    should hold, what was tried, and how many sessions the last pass tried. A pass
+    of which half of the window wasn't served in time halves it; it never widens
+    again."""
+
+    window: int = 0
+    budget: int = 2_000_000
+    attempts: DataFrame | None = None
+    tried: int = 0
+
+    def tasks(self, chars: int, cores: int) -> int:
+        """Tasks for so many characters: the window, or enough of them for the budget."""
+        return self.window or max(cores, -(-chars // self.budget), 1)
+
+    def starved(self, sessions: int, cores: int) -> None:
+        width = self.window or cores
+        if width > 1 and sessions >= (width + 1) // 2:
+            self.window = width // 2
+
+
+def unattempted(ready: DataFrame, totals: DataFrame, lens: str, attempts: DataFrame | None) -> DataFrame:
+    """session, lens, n of the ready sessions that no earlier pass has tried at their
+    present length: one that failed is tried once a run, one that grew again."""
+    keys = ready.join(totals.select("session", "n"), "session").select("session", F.lit(lens).alias("lens"), "n")
+    return keys if attempts is None else keys.join(attempts, ["session", "lens", "n"], "left_anti")
+
+
+def drain(store: Store, lenses: Sequence[str], model: Callable[[str], Model], now: str, chunk_chars: int = 0, since: str | None = None, until: str | None = None, pace: Pace | None = None) -> int:
+    """Mine what is pending for each lens and wasn't tried before in the run that
+    ``pace`` is of; the number of (session, lens) marks set.
     Chunks are mined in the tasks; a session whose chunk failed or was truncated
     keeps its watermark and gets a retry later; every drifted one is stamped and counted."""
-    done = 0
+    done, pace = 0, pace or Pace()
+    pace.tried, before = 0, pace.attempts
+    cores = store.spark.sparkContext.defaultParallelism
     for lens in lenses:
         raw, progress = store.read("raw"), store.read("progress")
+        totals = queue.session_totals(raw)
         ready = queue.pending_sessions(raw, store.read("staged"), progress, [lens], now, since, until)
-        tail = queue.lens_tail(raw, progress, [lens]).join(ready, "session", "left_semi")
-        mined = materialise(models.mine(text.chunks(tail, chunk_chars), model(lens), lens), "mined")
+        keys = materialise(unattempted(ready, totals, lens, before), "attempts")
+        size = keys.join(totals.select("session", "chars"), "session").agg(F.count("*").alias("n"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars")).first()
+        if not size["n"]:
+            continue
+        pace.tried += size["n"]
+        pace.attempts = keys if pace.attempts is None else pace.attempts.unionByName(keys)
+        tail = queue.lens_tail(raw.join(keys.select("session"), "session", "left_semi"), progress, [lens])
+        chunks = text.chunks(tail, chunk_chars).repartition(pace.tasks(size["chars"], cores), "session")
+        mined = materialise(models.mine(chunks, model(lens), lens), "mined")
         outcome = models.session_outcomes(mined)
         good = outcome.where("not failed")
-        totals = queue.session_totals(raw)
         marks = good.join(totals, "session").select("session", F.lit(lens).alias("lens"), F.col("n").cast("int").alias("distilled"), F.col("max_id").alias("raw_high_id"), "drifted")
         rows = mined.where("observation is not null").join(good, "session", "left_semi").join(totals.select("session", F.col("last_ts").alias("ts")), "session")
         rows = rows.select("obs_id", "ts", "session", "lens", "dimension", "observation", "evidence", F.col("poignancy").cast("int").alias("poignancy"), F.lit("mined").alias("source"), F.col("embedding").cast("array<float>").alias("embedding"))
         done += store.commit_distillation(rows, marks, now)
-        failed = outcome.where("failed").select("session", F.lit(lens).alias("lens"))
-        if not failed.isEmpty():
+        failed = outcome.where("failed").select("session", F.lit(lens).alias("lens"), "starved")
+        late = failed.agg(F.count("*").alias("n"), F.count(F.when(F.col("starved"), 1)).alias("starved")).first()
+        if late["n"]:
             store.update(lambda s, failed=failed: {"progress": queue.retries_after_failure(s.read("progress"), failed, now)})
+            pace.starved(late["starved"], cores)
     return done
 
 
@@ -45,40 +95,57 @@ def _cited(item: dict) -> list[str]:
     return [str(i) for i in (ids if isinstance(ids, list) else [ids])] or [""]
 
 
+def _window(store: Store, lens: str, window_bytes: int) -> list:
+    """The observations past the lens's cursor that one window holds."""
+    cursor = int(store.get(f"review_rowid:{lens}", "0") or 0)
+    delta = store.read("observations").where((F.col("lens") == lens) & (F.col("seq") > cursor)).drop("embedding").orderBy("seq")
+    budget, batch = window_bytes, []
+    for r in delta.limit(max(1, window_bytes // 64)).collect():  # a window's rows, at 64 bytes each or more
+        size = len(pretty(r.asDict()).encode())
+        if batch and size > budget:
+            break
+        batch.append(r)
+        budget -= size
+    return batch
+
+
+def _folded(store: Store, lens: str, model: Model, batch: list, now: str) -> DataFrame:
+    """The facets of all lenses after a window went to the model of one."""
+    versions = store.read("facet_versions")
+    own = versions.where((F.col("lens") == lens) & (F.col("valid_to") == ""))
+    page = text.summary_input(own).first()
+    try:
+        status, items = parse_array(model((page["text"] if page else "") + "\n" + pretty([r.asDict() for r in batch])))
+    except Exception as e:  # whatever a model raises
+        raise ValueError(f"model of lens {lens}: {e}") from e
+    if status in ("truncated", "none"):
+        raise ValueError(f"reply of lens {lens}: {status}")
+    rows = [
+        (lens, str(x.get("dimension") or ""), str(x.get("key") or ""), str(x.get("value") or ""), float(x.get("confidence") or 0), obs_id, k << 20 | i, bool(x.get("contradicts_prior")))
+        for k, x in enumerate(items) for i, obs_id in enumerate(_cited(x))
+    ]
+    asserts = store.spark.createDataFrame(rows, "lens string, dimension string, key string, value string, confidence double, obs_id string, ord long, contradicts boolean")
+    return history.apply_assertions(versions, asserts, now).select(*versions.columns)
+
+
 def review(store: Store, lens: str, model: Model, now: str, window_bytes: int = 16_000) -> int:
     """Fold the observations past the lens's cursor, window after window: each
     window is bounded by ``window_bytes``, sees the facets that the one before left,
     and moves the cursor with its own commit. The number of windows."""
     windows = 0
-    while True:
-        cursor = int(store.get(f"review_rowid:{lens}", "0") or 0)
-        delta = store.read("observations").where((F.col("lens") == lens) & (F.col("seq") > cursor)).drop("embedding").orderBy("seq")
-        budget, batch = window_bytes, []
-        for r in delta.limit(max(1, window_bytes // 64)).collect():  # a window's rows, at 64 bytes each or more
-            size = len(json.dumps(r.asDict(), indent=2).encode())
-            if batch and size > budget:
-                break
-            batch.append(r)
-            budget -= size
-        if not batch:
-            return windows
-        versions = store.read("facet_versions")
-        own = versions.where((F.col("lens") == lens) & (F.col("valid_to") == ""))
-        page = text.summary_input(own).first()
-        status, items = parse_array(model((page["text"] if page else "") + "\n" + json.dumps([r.asDict() for r in batch])))
-        if status in ("truncated", "none"):
-            raise ValueError(f"reply of lens {lens}: {status}")
-        rows = [
-            (lens, str(x.get("dimension") or ""), str(x.get("key") or ""), str(x.get("value") or ""), float(x.get("confidence") or 0), obs_id, k << 20 | i, bool(x.get("contradicts_prior")))
-            for k, x in enumerate(items) for i, obs_id in enumerate(_cited(x))
-        ]
-        asserts = store.spark.createDataFrame(rows, "lens string, dimension string, key string, value string, confidence double, obs_id string, ord long, contradicts boolean")
-        folded = history.apply_assertions(versions, asserts, now).select(*(f.name for f in store.read("facet_versions").schema.fields))
+    while batch := _window(store, lens, window_bytes):
+        folded = _folded(store, lens, model, batch, now)
         meta = store.spark.createDataFrame([(f"review_rowid:{lens}", str(batch[-1]["seq"])), ("review_ts", now)], SCHEMAS["meta"])
-        from ..operators.tables import upsert
-
         store.update(lambda s, folded=folded, meta=meta: {"facet_versions": folded, "meta": upsert(s.read("meta"), meta, "key")})
         windows += 1
+    return windows
+
+
+def preview_review(store: Store, lens: str, model: Model, now: str, window_bytes: int = 16_000) -> DataFrame:
+    """The lens's facets as its next window would leave them; nothing is stored."""
+    batch = _window(store, lens, window_bytes)
+    after = _folded(store, lens, model, batch, now) if batch else store.read("facet_versions")
+    return after.where(F.col("lens") == lens)
 
 
 def emerge(store: Store, lens: str, judge: Model, now: str, budget: int = 5) -> int:
@@ -142,4 +209,4 @@ def summarise(store: Store, model: Model, prompt: str = "", model_name: str = ""
     return written
 
 
-__all__ = ["drain", "emerge", "review", "summarise"]
+__all__ = ["drain", "emerge", "preview_review", "review", "summarise"]

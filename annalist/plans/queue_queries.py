@@ -96,8 +96,7 @@ def stats(spark, d):
 
 @query("A10_J4_next_backoff", f"select min(next_attempt) as next_attempt from progress_v where lens in ('default', 'math') and next_attempt > '{NOW}'")
 def next_backoff(spark, d):
-    active = F.broadcast(queue.lens_frame(spark, LENSES))
-    return progress_v(spark, d).join(active, "lens").where(F.col("next_attempt") > NOW).agg(F.min("next_attempt").alias("next_attempt"))
+    return queue.next_backoff(progress_v(spark, d), LENSES, NOW)
 
 
 @query(

@@ -36,6 +36,30 @@ SCHEMAS = {
 }
 
 
+#: What older stores hold nothing of, by table: columns that came later.
+DEFAULTS = {"raw": {"effort": ""}, "progress": {"retries": 0, "next_attempt": "", "drift_at": ""}, "facet_versions": {"recorded_at": "", "valid_to": ""}}
+
+
+def _filled(s: Store) -> Changes:
+    """Columns that came later get their defaults."""
+    there = s.manifest()["tables"]
+    return {name: s.read(name).fillna(told) for name, told in DEFAULTS.items() if there.get(name)}
+
+
+def _clamped(s: Store) -> Changes:
+    """Review cursors beyond the last observation go back to it, so that what comes
+    next isn't passed over."""
+    top = s.next_id("observations", "seq") - 1
+    cursor = F.col("key").startswith("review_rowid:") | (F.col("key") == "review_obs_rowid")
+    return {"meta": s.read("meta").withColumn("value", F.when(cursor & (F.col("value").cast("long") > top), F.lit(str(top))).otherwise(F.col("value")))}
+
+
+#: The steps from each format of a store to the next one. Manifests of the first
+#: format name one folder a table and no format.
+MIGRATIONS: tuple[Callable[[Store], Changes], ...] = (_filled, _clamped)
+FORMAT = 1 + len(MIGRATIONS)
+
+
 class Conflict(RuntimeError):
     """Another commit came first."""
 
@@ -61,22 +85,37 @@ class Store:
 
     # -- manifest ---------------------------------------------------------
     def manifest(self) -> dict:
-        """{"version": n, "tables": {name: [folder]}} of the newest commit. A manifest
-        that isn't written to its end is none yet."""
+        """{"version": n, "format": n, "tables": {name: [folder]}} of the newest commit.
+        A manifest that isn't written to its end is none yet."""
         folder = self._path(f"{self.root}/_manifests")
         if not self._fs.exists(folder):
-            return {"version": 0, "tables": {}}
+            return {"version": 0, "format": FORMAT, "tables": {}}
         names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
         versions = sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
         for v in reversed(versions):
             rows = self.spark.read.text(f"{self.root}/_manifests/{v:012d}.json", wholetext=True).collect()
             try:
-                return json.loads(rows[0]["value"] if rows else "")
+                told = json.loads(rows[0]["value"] if rows else "")
             except ValueError:
                 continue
-        return {"version": 0, "tables": {}}
+            return told | {"format": told.get("format", 1), "tables": {k: [x] if isinstance(x, str) else x for k, x in told["tables"].items()}}
+        return {"version": 0, "format": FORMAT, "tables": {}}
+
+    def migrate(self) -> int:
+        """Bring a store of an older format to this one, a commit a step; the number
+        of steps. A store of a newer format is refused."""
+        steps = 0
+        while (now := self.manifest())["format"] != FORMAT:
+            if now["format"] > FORMAT:
+                raise ValueError(f"the store's format {now['format']} is newer than {FORMAT}")
+            try:
+                self.commit(MIGRATIONS[now["format"] - 1](self), now["version"], now["format"] + 1)
+            except Conflict:  # another engine took the step
+                continue
+            steps += 1
+        return steps
 
-    def commit(self, changes: Changes, expected: int | None = None) -> int:
+    def commit(self, changes: Changes, expected: int | None = None, format: int | None = None) -> int:
         """Write the tables and publish them together; the new version. Fails if
         ``expected`` isn't the version now, or another commit takes the next one."""
         now = self.manifest()
@@ -90,7 +129,7 @@ class Store:
             df.select(*(F.col(f"`{f.name}`").cast(f.dataType) for f in schema.fields)).write.mode("error").parquet(f"{self.root}/{folder}")
             folders[name] = [*folders.get(name, []), folder] if more else [folder]
         version = now["version"] + 1
-        self._publish(f"{self.root}/_manifests/{version:012d}.json", json.dumps({"version": version, "tables": folders}))
+        self._publish(f"{self.root}/_manifests/{version:012d}.json", json.dumps({"version": version, "format": format or now["format"], "tables": folders}))
         return version
 
     def _publish(self, target: str, text: str) -> None:
@@ -126,7 +165,7 @@ class Store:
             if int(version) <= top - keep:
                 self._fs.delete(path, False)
             elif text := self.spark.read.text(f"{self.root}/_manifests/{path.getName()}", wholetext=True).collect():
-                used |= {x for folders in json.loads(text[0]["value"])["tables"].values() for x in folders}
+                used |= {x for folders in json.loads(text[0]["value"])["tables"].values() for x in ([folders] if isinstance(folders, str) else folders)}
         gone = 0
         for name in SCHEMAS:
             if self._fs.exists(self._path(f"{self.root}/{name}")):
