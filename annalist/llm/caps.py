@@ -202,3 +202,13 @@ def link(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     unusable = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec"))
     unusable = unusable.where(~usable(F.col("vec"))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(unusable).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+ORACLE_SQL = """with recursive x as (
+  select vec_id, cast(embedding as double[]) as v from embeddings
+  where len(embedding) > 0 and len(list_filter(embedding, lambda y: y is null or not isfinite(y))) = 0 and len(list_filter(embedding, lambda y: y <> 0)) > 0),
+e as (select a.vec_id as u, b.vec_id as w from x a join x b on a.vec_id <> b.vec_id
+  where case when len(a.v) = len(b.v) then list_cosine_similarity(a.v, b.v) >= 0.95 else false end),
+r as (select vec_id, vec_id as o from embeddings union select r.vec_id, e.w from r join e on e.u = r.o),
+n as (select u as vec_id, count(*) as c from e group by u)
+select vec_id, coalesce(any_value(n.c), 0) as n_links, min(o) as component_id, vec_id = min(o) as kept from r left join n using (vec_id) group by vec_id"""

@@ -68,6 +68,8 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op6_embedding_near_dedup": caps.ORACLE_SQL,
     "op7_url_filter": urls.ORACLE_SQL,
     "op8_chat_format": chat.ORACLE_SQL,
+    "op9_ngram_jaccard_join": shingles.ORACLE_SQL,
 }

@@ -602,3 +602,14 @@ def keep_one(docs: DataFrame, width: int = 5, threshold: Fraction = Fraction(4,
     kept = docs.join(first, F.col("doc_id") == F.col("_first"), "left_semi")
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
     return kept.withColumn("_nth", nth).where("_nth = 1").drop("_nth").unionByName(docs.where("doc_id is null"))
+
+
+ORACLE_SQL = r"""with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 3 then [array_to_string(ws, ' ')]
+  else list_transform(range(1, len(ws) - 1), lambda i: concat(ws[i], ' ', ws[i + 1], ' ', ws[i + 2])) end) as g from w),
+n as (select doc_id, count(*) as c from s group by doc_id),
+shared as (select a.doc_id as u, b.doc_id as v, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
+e as (select u, v from shared join n a on a.doc_id = u join n b on b.doc_id = v where 100 * shared.c >= 90 * (a.c + b.c - shared.c)),
+r as (select doc_id, doc_id as o from documents union select r.doc_id, e.v from r join e on e.u = r.o)
+select doc_id, coalesce(any_value(n.c), 0) as n_shingles, min(o) as component_id from r left join n using (doc_id) group by doc_id"""
