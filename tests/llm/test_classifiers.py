@@ -47,6 +47,24 @@ def test_backoff_reads_the_whole_run():
     assert model.predict(["xyzzy" * 13 + "plugh" * 100])[0] == ["b"]
 
 
+def test_blocks_and_a_full_cache_change_nothing(monkeypatch):
+    rnd = random.Random(4)
+    rows = [(x, "".join(rnd.choices(letters, k=rnd.randrange(1, 9))), rnd.randrange(1, 5)) for x, letters in (("a", "abcdé"), ("b", "defgß文")) for _ in range(300)]
+    texts = [" ".join("".join(rnd.choices("abcdefgzéß文", k=rnd.randrange(1, 40))) for _ in range(30)) for _ in range(20)]
+    whole = language.train(["a", "b"], rows).predict(texts)
+    for name, value in (("PLACES_AT_ONCE", 7), ("WORDS_AT_ONCE", 5), ("CACHE_WORDS", 10)):
+        monkeypatch.setattr(language, name, value)
+    model = language.train(["a", "b"], rows)
+    cut = [model.predict([t]) for t in texts]
+    assert [x[0][0] for x in cut] == whole[0]
+    assert np.allclose([x[1][0] for x in cut], whole[1], atol=1e-6)
+
+
+def test_a_letter_beside_a_numeral_is_a_letter():
+    model = language.train(["a", "b"], [("a", "xyzzy", 9), ("b", "plugh", 9)])
+    assert model.predict(["x²", "²", "½ 7"])[0] == ["a", "und", "und"]
+
+
 def test_every_word_of_the_sample_is_in_the_model(spark):
     common = ["".join(chr(97 + int(d)) for d in str(k)) for k in range(100_001)]
     rows = [(0, " ".join(common * 2), "a"), (1, "zqxjw zqxjv", "b")]
