@@ -58,13 +58,19 @@ def parsed_ts(ts: Column) -> Column:
     return F.when(shaped, text.try_cast("timestamp"))
 
 
+def rfc3339(ts: Column) -> Column:
+    """A timestamp as text. Java's patterns put a sign before years beyond 9999, which
+    the format has none of."""
+    return F.ltrim(F.date_format(ts, RFC3339), F.lit("+"))
+
+
 def normal_ts(ts: Column, fallback: Column) -> Column:
     """RFC 3339 in UTC and whole seconds, else ``fallback``."""
-    return F.coalesce(F.date_format(parsed_ts(ts), RFC3339), fallback)
+    return F.coalesce(rfc3339(parsed_ts(ts)), fallback)
 
 
 def millis_ts(ms: Column) -> Column:
-    return F.when(ms > 0, F.date_format(F.timestamp_millis(ms), RFC3339)).otherwise("")
+    return F.when(ms > 0, rfc3339(F.timestamp_millis(ms))).otherwise("")
 
 
 def backoff_minutes(retries: Column) -> Column:

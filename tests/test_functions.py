@@ -72,3 +72,13 @@ def test_time_bounds():
     assert time_bound("2026-07-08", now, True).hour == 23
     with pytest.raises(ValueError):
         time_range("2026-07-09", "2026-07-08", now)
+
+
+def test_years_beyond_9999_have_no_sign(spark):
+    from pyspark.sql import functions as F
+
+    from annalist.functions import scalars as X
+
+    rows = spark.createDataFrame([(253402300799999, "9999-12-31T23:59:59-01:00"), (253402300800000, "2024-01-01"), (5999999 * 86400123, "x"), (0, "")], "ms long, ts string")
+    got = [tuple(r) for r in rows.select(X.millis_ts(F.col("ms")), X.normal_ts(F.col("ts"), F.lit("-"))).collect()]
+    assert got == [("9999-12-31T23:59:59Z", "10000-01-01T00:59:59Z"), ("10000-01-01T00:00:00Z", "2024-01-01T00:00:00Z"), ("18397-06-18T12:59:59Z", "-"), ("", "-")]
