@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from ..functions.replies import parse_array
 from ..functions.scalars import summary_signature
 from ..operators import arcs, history, models, queue, text
 from ..operators.tables import upsert
-from ..scratch import materialise
+from ..scratch import discard, materialise
 from ..store import SCHEMAS, Store
 
 Model = models.Model
@@ -95,56 +96,116 @@ def _cited(item: dict) -> list[str]:
     return [str(i) for i in (ids if isinstance(ids, list) else [ids])] or [""]
 
 
-def _window(store: Store, lens: str, window_bytes: int) -> list:
-    """The observations past the lens's cursor that one window holds."""
-    cursor = int(store.get(f"review_rowid:{lens}", "0") or 0)
-    delta = store.read("observations").where((F.col("lens") == lens) & (F.col("seq") > cursor)).drop("embedding").orderBy("seq")
-    budget, batch = window_bytes, []
-    for r in delta.limit(max(1, window_bytes // 64)).collect():  # a window's rows, at 64 bytes each or more
-        size = len(pretty(r.asDict()).encode())
-        if batch and size > budget:
-            break
-        batch.append(r)
-        budget -= size
-    return batch
+def _delta(store: Store, lens: str, after: int) -> DataFrame:
+    """The lens's observations past a cursor, as the models read them."""
+    return store.read("observations").where((F.col("lens") == lens) & (F.col("seq") > after)).drop("embedding")
 
 
-def _folded(store: Store, lens: str, model: Model, batch: list, now: str) -> DataFrame:
-    """The facets of all lenses after a window went to the model of one."""
+def _cursor(store: Store, lens: str) -> int:
+    return int(store.get(f"review_rowid:{lens}", "0") or 0)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for b in batches:
+        for at in range(0, b.num_rows, 256):
+            yield from b.slice(at, 256).to_pylist()
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        told = [(r["lens"], r["seq"], len(pretty(r).encode())) for r in _rows(iter([b]))]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*told, strict=True) if told else ((), (), ()), (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["lens", "seq", "size"])
+
+
+def _window_ends(store: Store, lens: str, after: int, window_bytes: int) -> list[int]:
+    """The last seq of each window past a cursor, in order. Only seqs and sizes are sorted."""
+    sizes = _delta(store, lens, after).mapInArrow(_sizes, "lens string, seq long, size long")
+    windows = history.size_windows(sizes, "lens", "seq", F.col("size"), window_bytes)
+    return sorted(r["seq"] for r in windows.groupBy("window").agg(F.max("seq").alias("seq")).select("seq").collect())
+
+
+_REPLY = "status string, lens string, dimension string, key string, value string, confidence double, obs_id string, ord long, contradicts boolean"
+
+
+def _asked(lens: str, model: Model):
+    """For mapInArrow, in one task: a page (in the column ``_page``) and a window of
+    rows in order to the model; its assertions, and first a row of the reply's status."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, page = [], ""
+        for r in _rows(batches):
+            head = r.pop("_page")
+            if head is None:  # pretty() of the list of rows, a row at a time
+                parts += [",\n  " if parts else "\n[\n  ", pretty(r).replace("\n", "\n  ")]
+            else:
+                page = head
+        parts += ["\n]" if parts else "\n[]"]
+        parts.insert(0, page)
+        whole = ["".join(parts)]
+        parts.clear()
+        rows: list[tuple] = []
+        try:
+            reply = [model(whole.pop())]
+        except Exception as e:  # whatever a model raises
+            status = f"model of lens {lens}: {e}"
+        else:
+            status, items = parse_array(reply.pop())
+            status = f"reply of lens {lens}: {status}" if status in ("truncated", "none") else ""
+            try:
+                rows = [
+                    ("", lens, *(str(x.get(f) or "") for f in ("dimension", "key", "value")), float(x.get("confidence") or 0), obs_id, k << 20 | i, bool(x.get("contradicts_prior")))
+                    for k, x in enumerate(items) for i, obs_id in enumerate(_cited(x))
+                ]
+                for r in rows:
+                    "".join((*r[2:5], r[6])).encode()
+            except (TypeError, ValueError, OverflowError) as e:  # a confidence that is no number, half a character
+                status, rows = f"reply of lens {lens}: {e}", []
+        rows.insert(0, (status.encode("utf-8", "replace").decode(), *[None] * 8))
+        types = (*[pa.string()] * 5, pa.float64(), pa.string(), pa.int64(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=["status", "lens", "dimension", "key", "value", "confidence", "obs_id", "ord", "contradicts"])
+
+    return run
+
+
+def _folded(store: Store, lens: str, model: Model, after: int, end: int, now: str) -> DataFrame:
+    """The facets of all lenses after a window, the observations past ``after`` and up
+    to ``end``, went to the model of one. The model reads it in a task."""
     versions = store.read("facet_versions")
     own = versions.where((F.col("lens") == lens) & (F.col("valid_to") == ""))
-    page = text.summary_input(own).first()
-    try:
-        status, items = parse_array(model((page["text"] if page else "") + "\n" + pretty([r.asDict() for r in batch])))
-    except Exception as e:  # whatever a model raises
-        raise ValueError(f"model of lens {lens}: {e}") from e
-    if status in ("truncated", "none"):
-        raise ValueError(f"reply of lens {lens}: {status}")
-    rows = [
-        (lens, str(x.get("dimension") or ""), str(x.get("key") or ""), str(x.get("value") or ""), float(x.get("confidence") or 0), obs_id, k << 20 | i, bool(x.get("contradicts_prior")))
-        for k, x in enumerate(items) for i, obs_id in enumerate(_cited(x))
-    ]
-    asserts = store.spark.createDataFrame(rows, "lens string, dimension string, key string, value string, confidence double, obs_id string, ord long, contradicts boolean")
-    return history.apply_assertions(versions, asserts, now).select(*versions.columns)
+    page = text.summary_input(own).select(F.lit(-1).cast("long").alias("seq"), F.col("text").alias("_page"))
+    window = _delta(store, lens, after).where(F.col("seq") <= end).unionByName(page, allowMissingColumns=True)
+    told = materialise(window.repartition(1).sortWithinPartitions("seq").mapInArrow(_asked(lens, model), _REPLY), "reply")
+    status = told.where(F.col("lens").isNull()).first()["status"]
+    if status:
+        discard(told)
+        raise ValueError(status)
+    out = history.apply_assertions(versions, told.where(F.col("lens").isNotNull()).drop("status"), now).select(*versions.columns)
+    out._reply = told
+    return out
 
 
 def review(store: Store, lens: str, model: Model, now: str, window_bytes: int = 16_000) -> int:
     """Fold the observations past the lens's cursor, window after window: each
     window is bounded by ``window_bytes``, sees the facets that the one before left,
     and moves the cursor with its own commit. The number of windows."""
-    windows = 0
-    while batch := _window(store, lens, window_bytes):
-        folded = _folded(store, lens, model, batch, now)
-        meta = store.spark.createDataFrame([(f"review_rowid:{lens}", str(batch[-1]["seq"])), ("review_ts", now)], SCHEMAS["meta"])
-        store.update(lambda s, folded=folded, meta=meta: {"facet_versions": folded, "meta": upsert(s.read("meta"), meta, "key")})
-        windows += 1
+    windows, at = 0, _cursor(store, lens)
+    while ends := _window_ends(store, lens, at, window_bytes):
+        for end in ends:
+            folded = _folded(store, lens, model, at, end, now)
+            meta = store.spark.createDataFrame([(f"review_rowid:{lens}", str(end)), ("review_ts", now)], SCHEMAS["meta"])
+            store.update(lambda s, folded=folded, meta=meta: {"facet_versions": folded, "meta": upsert(s.read("meta"), meta, "key")})
+            discard(folded._reply)
+            windows, before, at = windows + 1, end, _cursor(store, lens)
+            if at != before:  # moved by another: windows follow anew from there
+                break
     return windows
 
 
 def preview_review(store: Store, lens: str, model: Model, now: str, window_bytes: int = 16_000) -> DataFrame:
     """The lens's facets as its next window would leave them; nothing is stored."""
-    batch = _window(store, lens, window_bytes)
-    after = _folded(store, lens, model, batch, now) if batch else store.read("facet_versions")
+    at = _cursor(store, lens)
+    ends = _window_ends(store, lens, at, window_bytes)
+    after = _folded(store, lens, model, at, ends[0], now) if ends else store.read("facet_versions")
     return after.where(F.col("lens") == lens)
 
 

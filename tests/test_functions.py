@@ -82,3 +82,17 @@ def test_years_beyond_9999_have_no_sign(spark):
     rows = spark.createDataFrame([(253402300799999, "9999-12-31T23:59:59-01:00"), (253402300800000, "2024-01-01"), (5999999 * 86400123, "x"), (0, "")], "ms long, ts string")
     got = [tuple(r) for r in rows.select(X.millis_ts(F.col("ms")), X.normal_ts(F.col("ts"), F.lit("-"))).collect()]
     assert got == [("9999-12-31T23:59:59Z", "10000-01-01T00:59:59Z"), ("10000-01-01T00:00:00Z", "2024-01-01T00:00:00Z"), ("18397-06-18T12:59:59Z", "-"), ("", "-")]
+
+
+def test_a_long_string_is_scanned_without_a_stack():
+    import tracemalloc
+
+    reply = '[{"a": "' + "ab\\n" * 500_000 + '"}]'
+    tracemalloc.start()
+    try:
+        status, items = parse_array(reply)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert status == "array" and len(items[0]["a"]) == 1_500_000
+    assert most < 20 * len(reply)

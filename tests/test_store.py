@@ -225,3 +225,47 @@ def test_pending_range_and_empty_lenses(spark):
     assert pick(["default"], NOW, "2026-07-08", "2026-07-11T23:59:59Z") == ["in"]
     assert pick([], NOW) == []
     assert queue.session_totals(raw).where(F.col("updated_at").isNull()).count() == 1
+
+
+def _noted(spark, texts):
+    rows = [(k + 1, f"o{k}", "2024-01-01", "s", "l", "d", t, "", 1, "mined", [1.0]) for k, t in enumerate(texts)]
+    return spark.createDataFrame(rows[::-1], SCHEMAS["observations"])
+
+
+def test_windows_are_read_in_tasks_whole_and_in_order(spark, store):
+    import os
+
+    texts = [f'note "{k}" \u00e9\n' * (k % 7 + 1) for k in range(40)]
+    store.commit({"observations": _noted(spark, texts)})
+    rows = [r.asDict() for r in store.read("observations").drop("embedding").orderBy("seq").collect()]
+    want, left = [[]], 3000
+    for r in rows:
+        n = len(distill.pretty(r).encode())
+        if want[-1] and n > left:
+            want.append([])
+            left = 3000
+        want[-1].append(r)
+        left -= n
+    here = os.getpid()
+
+    def fold(text):  # tells what it read, and whether it runs in the driver
+        page, _, rows = text.partition("\n[")
+        return json.dumps([{"dimension": "d", "key": str(json.loads("[" + rows)[0]["seq"]), "value": f"{os.getpid() == here} {page.count('- d/')} {'[' + rows}", "confidence": 0.5, "because_of": ["o"]}])
+
+    assert distill.review(store, "l", fold, NOW, 3000) == len(want) > 3
+    got = {r["key"]: r["value"] for r in store.read("facet_versions").where("valid_to = ''").collect()}
+    assert got == {str(w[0]["seq"]): f"False {k} {distill.pretty(w)}" for k, w in enumerate(want)}
+    assert store.get("review_rowid:l") == "40" and distill.review(store, "l", fold, NOW, 3000) == 0
+
+
+def test_replies_that_cannot_be_folded_raise(spark, store):
+    store.commit({"observations": _noted(spark, ["a"])})
+
+    def down(text):
+        raise RuntimeError("down")
+
+    odd = [lambda text: json.dumps([{"dimension": "d", "key": "k", "value": "v", "confidence": "high"}]), lambda text: json.dumps([{"dimension": "d", "key": "k", "value": chr(0xD800)}]), lambda text: "none", down]
+    for model in odd:
+        with pytest.raises(ValueError, match="of lens l"):
+            distill.review(store, "l", model, NOW)
+    assert store.get("review_rowid:l") == "" and store.read("facet_versions").count() == 0
